@@ -6,16 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import simhash
+from strandframe.llm import decontaminate, mixing, simhash, toxicity
 from strandframe.llm.common import load
 
 
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op2_query(load(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_query(load(spark, sf_dir, "documents"))
 
 
+def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op8_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op9_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op9_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pivotal_mix": op2_pivotal_mix,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op8_mil_toxicity": op8_mil_toxicity,
+    "op9_window_decontamination": op9_window_decontamination,
 }
 
 ORACLE: dict[str, str] = {}
