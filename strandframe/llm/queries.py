@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, mixing, simhash, toxicity
+from strandframe.llm import decontaminate, mixing, simhash, tokens, toxicity
 from strandframe.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_query(load(spark, sf_dir, "documents"))
 
 
+def op7_pfor_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op7_query(load(spark, sf_dir, "documents"))
+
+
 def op8_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op8_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -29,6 +33,7 @@ def op9_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mix": op2_pivotal_mix,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_pfor_token_shards": op7_pfor_token_shards,
     "op8_mil_toxicity": op8_mil_toxicity,
     "op9_window_decontamination": op9_window_decontamination,
 }
