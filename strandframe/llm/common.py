@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandframe.scratch import Scratch
 
@@ -25,6 +26,14 @@ def small(df: DataFrame, rows: int | None = None, bound: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= bound else df
 
 
+def extended(df: DataFrame, *new: tuple[str, str]) -> StructType:
+    """df's schema with the columns of new (name, type) added; df's own stays as it is."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in new:
+        out = out.add(name, kind)
+    return out
+
+
 def word_array(text: Column) -> Column:
     """The words of a text, none for null or blank text."""
     words = F.split(F.coalesce(text, F.lit("")), _GAP)

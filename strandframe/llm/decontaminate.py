@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import simhash, small, word_array
+from strandframe.llm.common import extended, simhash, small, word_array
 from strandframe.scratch import Scratch
 
 WIDTH = 5
@@ -89,7 +89,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
         found = at.join(small(shingles), "h").select("doc_id", "text_key", "pos", F.lit(w).alias("width"), F.explode("sizes").alias("n"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("text_key", "long").add("item_id", items.schema["item_id"].dataType).add("start_word", "int").add("n_words", "int").add("similarity", "double"))
+        return docs.sparkSession.createDataFrame([], extended(docs.select("doc_id"), ("text_key", "long"), ("item_id", items.schema["item_id"].dataType), ("start_word", "integer"), ("n_words", "integer"), ("similarity", "double")))
 
     places = hits.groupBy("doc_id", "text_key", "n").agg(F.collect_set(F.struct("pos", "width")).alias("places"))
     places = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "places")).alias("sizes"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import connected_components, small
+from strandframe.llm.common import connected_components, extended, small
 from strandframe.scratch import Scratch
 
 _EVEN = 0x5555555555555555
@@ -61,8 +61,7 @@ def fingerprints(docs: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",
             fps = pa.array([text_fingerprint(t.as_py(), width) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), fps], [*keep, "fp"])
 
-    schema = fields.schema.add("fp", "long")
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, extended(fields, ("fp", "long")))
 
 
 def blocks_for(n: int, radius: int) -> int:

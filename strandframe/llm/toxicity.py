@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import extended
+
 #: Labelled documents that a model is fitted on, at most; the ones with the smallest hash of doc_id are taken.
 TRAIN_ROWS = 12_000
 #: Buckets of hashed words.
@@ -154,7 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             new = [pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.float64(), pa.int32(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "score", "worst_sentence", "worst_score"])
 
-    schema = kept.schema.add("score", "double").add("worst_sentence", "int").add("worst_score", "double")
+    schema = extended(kept, ("score", "double"), ("worst_sentence", "integer"), ("worst_score", "double"))
     return kept.mapInArrow(run, schema)
 
 
