@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, mixing, simhash, tokens, toxicity
+from strandframe.llm import decontaminate, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity
 from strandframe.llm.common import load
 
 
+def op1_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op1_query(load(spark, sf_dir, "documents"))
+
+
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_query(load(spark, sf_dir, "documents"))
 
 
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.op4_query(load(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_query(load(spark, sf_dir, "documents"))
 
@@ -30,12 +38,19 @@ def op9_window_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op9_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op10_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_length_histogram": op1_length_histogram,
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op4_nn_descent": op4_nn_descent,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pfor_token_shards": op7_pfor_token_shards,
     "op8_mil_toxicity": op8_mil_toxicity,
     "op9_window_decontamination": op9_window_decontamination,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLE: dict[str, str] = {}
