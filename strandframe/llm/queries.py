@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity
+from strandframe.llm import decontaminate, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity, url_rules
 from strandframe.llm.common import load
 
 
@@ -18,6 +18,10 @@ def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op2_query(load(spark, sf_dir, "documents"))
 
 
+def op3_url_association_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.op3_query(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+
+
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.op4_query(load(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_histogram": op1_length_histogram,
     "op2_pivotal_mix": op2_pivotal_mix,
+    "op3_url_association_rules": op3_url_association_rules,
     "op4_nn_descent": op4_nn_descent,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pfor_token_shards": op7_pfor_token_shards,
