@@ -109,15 +109,20 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
     windows = laid.select("doc_id", "text_key", "n", "start_word", F.slice("words", F.col("start_word") + 1, F.col("n")).alias("window"))
     windows = windows.withColumn("fp", _word_simhash(F.col("window")))
     keyed = windows.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "text_key", "n", "start_word", "window", "fp", "k.block", "k.bits")
-    index = bench.select("item_id", "item_words", "width", "item_fp", "n", F.explode(_blocks(F.col("item_fp"), radius)).alias("k"))
-    index = index.select("item_id", "item_words", "width", "item_fp", "n", "k.block", "k.bits")
+    item = bench.withColumn("item_shingles", _shingles(F.col("item_words"), F.col("width")))
+    index = item.select("item_id", "item_shingles", "width", "item_fp", "n", F.explode(_blocks(F.col("item_fp"), radius)).alias("k"))
+    index = index.select("item_id", "item_shingles", "width", "item_fp", "n", "k.block", "k.bits")
     near = keyed.join(small(index), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.dropDuplicates(["doc_id", "text_key", "start_word", "n", "item_id", "item_fp"])
-    scored = near.withColumn("similarity", weighted_similarity(_shingles(F.col("window"), F.col("width")), _shingles(F.col("item_words"), F.col("width"))))
-    best = scored.where(F.col("similarity") >= similarity).groupBy("doc_id", "text_key", "item_id").agg(
-        F.min_by(F.struct("start_word", F.size("window").alias("n_words"), "similarity"), F.struct(-F.col("similarity"), F.col("start_word"))).alias("b")
+    near = near.withColumn("shingles", _shingles(F.col("window"), F.col("width")))
+    # the shingles are columns behind a shuffle, so that no lambda of the similarity builds them again
+    near = near.groupBy("doc_id", "text_key", "start_word", "n", "item_id", "item_fp").agg(
+        F.first("shingles").alias("shingles"), F.first("item_shingles").alias("item_shingles"), F.first(F.size("window")).alias("n_words")
     )
-    return best.select("doc_id", "text_key", "item_id", "b.start_word", "b.n_words", "b.similarity")
+    scored = near.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
+    best = scored.groupBy("doc_id", "text_key", "item_id").agg(
+        F.min_by(F.struct("start_word", "n_words", "similarity"), F.struct(-F.col("similarity"), F.col("start_word"))).alias("b")
+    )
+    return best.select("doc_id", "text_key", "item_id", "b.start_word", "b.n_words", "b.similarity").where(F.col("similarity") >= similarity)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
