@@ -113,7 +113,7 @@ def _majority(s: Column, n: Column) -> Column:
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of all nodes of edges (a, b); component is the smallest node that is reachable.
+    """(node, component) of all nodes of edges (a, b); component is the smallest node that is reachable. Nodes are of any ordered type.
 
     Every node points to a smaller one. In each round a node and the node it
     points to take the smallest grandparent among the neighbours, and pointers
@@ -126,7 +126,9 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     up = scratch.save(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("p")), "up"
     )
-    total = up.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
+    # pointers only ever fall, so an unchanged sum of their hashes means that none moved
+    state = F.sum(F.xxhash64("node", "p").cast("decimal(38,0)"))
+    total = up.agg(state).first()[0]
     while total is not None:
         parent = up.select(F.col("node").alias("p"), F.col("p").alias("g"))
         grand = up.join(parent, "p").select("node", "p", "g")
@@ -141,7 +143,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             ).alias("x")
         ).select("x.*")
         after = scratch.save(moves.groupBy("node").agg(F.min("p").alias("p")), "up")
-        now = after.agg(F.sum(F.col("p").cast("decimal(38,0)"))).first()[0]
+        now = after.agg(state).first()[0]
         scratch.free(up)
         up, same, total = after, now == total, now
         if same:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity, url_rules
+from strandframe.llm import decontaminate, lines, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity, url_rules
 from strandframe.llm.common import load
 
 
@@ -26,6 +26,10 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nndescent.op4_query(load(spark, sf_dir, "embeddings"))
 
 
+def op5_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.op5_query(load(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6_query(load(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pivotal_mix": op2_pivotal_mix,
     "op3_url_association_rules": op3_url_association_rules,
     "op4_nn_descent": op4_nn_descent,
+    "op5_fuzzy_line_dedup": op5_fuzzy_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_pfor_token_shards": op7_pfor_token_shards,
     "op8_mil_toxicity": op8_mil_toxicity,
