@@ -53,19 +53,24 @@ def _matrix(lists) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in lists])
 
 
-def _codes(vectors: DataFrame, dims: int, bits: int, table: int) -> DataFrame:
-    """node, label, code: the signs against the hyperplanes of a table, as bits."""
+def _codes(vectors: DataFrame, bits: int, first: int, tables: int) -> DataFrame:
+    """node, label_key, dims, table, code: the signs against the hyperplanes of each table, as bits."""
 
     def run(batches):
-        planes = np.random.default_rng([table, dims]).standard_normal((dims, bits))
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column("x").to_numpy(zero_copy_only=False))
-                code = ((x @ planes) > 0) @ weights
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("label_key"), pa.array(code, pa.int64())], ["node", "label_key", "code"])
+            xs, node, label = batch.column("x").to_numpy(zero_copy_only=False), batch.column("node").to_numpy(zero_copy_only=False), np.array(batch.column("label_key").to_pylist(), object)
+            dims = np.array([len(v) for v in xs], np.int64)
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                x = _matrix(xs[at])
+                for t in range(first, first + tables):
+                    planes = np.random.default_rng([t, d]).standard_normal((d, bits))
+                    code = ((x @ planes) > 0) @ weights
+                    cols = [pa.array(node[at]), pa.array(label[at].tolist(), pa.string()), pa.array(np.full(len(at), d)), pa.array(np.full(len(at), t)), pa.array(code, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["node", "label_key", "dims", "table", "code"])
 
-    return vectors.where(F.size("x") == dims).select("node", "label_key", "x").mapInArrow(run, "node long, label_key string, code long")
+    return vectors.select("node", "label_key", "x").mapInArrow(run, "node long, label_key string, dims long, table long, code long")
 
 
 def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -122,23 +127,19 @@ def _local_join(lists: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: float, first_table: int = 0) -> DataFrame:
     """Lists (a, b, cos) by NN-descent; saturated ones are enlarged up to LIST_MOST."""
-    dims = [r[0] for r in vectors.select(F.size("x").alias("d")).distinct().limit(64).collect()]
     bits = max(4, min(48, math.ceil(math.log2(max(n, 2) / 8))))
+    bucket = ["label_key", "dims", "table", "code"]
+    # a bucket is dealt into parts, so that a large one isn't one group; members of a part and the firsts of the parts are linked in a row, each with the next three
+    part = F.pmod(F.xxhash64("node", "table"), F.lit(max(16, n // 4096)))
+    dealt = scratch.save(_codes(vectors, bits, first_table, TABLES).withColumn("part", part), "codes")
+    order = {c: Window.partitionBy(*bucket, *(["part"] if c == "node" else [])).orderBy(c if c == "part" else F.xxhash64("node")) for c in ("node", "part")}
+    heads = dealt.groupBy(*bucket, "part").agg(F.min("node").alias("node"))
     start = None
-    for d in dims:
-        for t in range(first_table, first_table + TABLES):
-            codes = _codes(vectors, d, bits, t)
-            # members of a bucket are linked along a second code, each with the next three
-            ring = Window.partitionBy("label_key", "code", "part").orderBy(F.xxhash64("node", F.lit(t)))
-            dealt = codes.withColumn("part", F.pmod(F.xxhash64("node", F.lit(t + 1)), F.lit(64)))
-            near = dealt.select("node", *[F.lead("node", k).over(ring).alias(f"n{k}") for k in (1, 2, 3)])
-            # a bucket's parts are joined by their first members
-            heads = dealt.groupBy("label_key", "code", "part").agg(F.min("node").alias("h"))
-            chain = Window.partitionBy("label_key", "code").orderBy("part")
-            heads = heads.select(F.col("h").alias("node"), *[F.lead("h", k).over(chain).alias(f"n{k}") for k in (1, 2, 3)])
-            for f in (near, heads):
-                pairs = f.select(F.col("node").alias("a"), F.explode(F.array("n1", "n2", "n3")).alias("b")).where("b is not null")
-                start = pairs if start is None else start.unionByName(pairs)
+    for rows, window in ((dealt, order["node"]), (heads, order["part"])):
+        near = rows.select("node", F.array(*[F.lead("node", k).over(window) for k in (1, 2, 3)]).alias("next"))
+        near = near.select("node", F.explode("next").alias("b"))
+        pairs = near.select(F.col("node").alias("a"), "b").where("b is not null")
+        start = pairs if start is None else start.unionByName(pairs)
     pairs = scratch.save(start.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
     lists = scratch.save(_top(_both(_scored(pairs, vectors).withColumn("new", F.lit(1))), None, LIST), "lists")
     k, wanted = LIST, None
