@@ -25,10 +25,10 @@ from strandframe.scratch import Scratch
 
 THRESHOLD = 0.98
 #: Neighbours a list holds at first and at most.
-LIST, LIST_MOST = 12, 48
+LIST, LIST_MOST = 12, 24
 #: Neighbours by either direction that take part in a local join.
 JOIN = 16
-#: Sets of hyperplanes, rounds of local joins at most, and the share of new entries below which they end.
+#: Sets of hyperplanes, rounds of local joins at most, and the share of new links among all links below which they end.
 TABLES, ROUNDS, SETTLED = 8, 4, 0.01
 #: Vectors of the audit, and the share of their links that must be found.
 AUDIT_ROWS, RECALL = 256, 0.95
@@ -83,7 +83,8 @@ def _scored(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def _top(edges: DataFrame, wanted: DataFrame | None, k: int) -> DataFrame:
     """The k (or wanted: node, k) best entries of each a; new marks entries that no list had before."""
-    best = edges.groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
+    # dealt by a once, which serves the grouping and the window
+    best = edges.repartition("a").groupBy("a", "b").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
     order = Window.partitionBy("a").orderBy(F.desc("cos"), "b")
     ranked = best.withColumn("r", F.row_number().over(order))
     if wanted is not None:
@@ -100,7 +101,7 @@ def _local_join(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     """Pairs a, b, cos of vectors that share a neighbour, where at least one of the two entries is new and the pair would enter a list."""
     # a bounded number of members from either direction meet at a vector, new ones first; hubs are thinned, since their members meet elsewhere too
     ends = lists.select(F.col("a").alias("at"), F.col("b").alias("node"), "new", "cos").unionByName(lists.select(F.col("b").alias("at"), F.col("a").alias("node"), "new", "cos"))
-    ends = ends.groupBy("at", "node").agg(F.max("new").alias("new"), F.max("cos").alias("cos"))
+    ends = ends.repartition("at").groupBy("at", "node").agg(F.max("new").alias("new"), F.max("cos").alias("cos"))
     order = Window.partitionBy("at").orderBy(F.desc("new"), F.desc("cos"), "node")
     members = ends.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * JOIN).drop("r")
     last = lists.groupBy("a").agg(F.min("cos").alias("bar"), F.count(F.lit(1)).alias("held")).withColumnRenamed("a", "node")
@@ -148,7 +149,7 @@ def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: flo
             found = _local_join(lists, vectors).withColumn("new", F.lit(1))
             held = lists.select("a", "b", "cos", F.lit(0).alias("new"))
             after = scratch.save(_top(held.unionByName(_both(found)), wanted, LIST), "lists")
-            fresh, total = after.agg(F.coalesce(F.sum("new"), F.lit(0)), F.count(F.lit(1))).first()
+            fresh, total = after.where(F.col("cos") >= threshold).agg(F.coalesce(F.sum("new"), F.lit(0)), F.count(F.lit(1))).first()
             scratch.free(lists)
             lists = after
             if fresh <= SETTLED * total:
