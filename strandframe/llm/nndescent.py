@@ -37,15 +37,24 @@ BLOCK = 1024
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label, x: rows that can link, x scaled to length 1 in double precision."""
-    x = F.col("embedding").cast("array<double>")
-    most = F.array_max(F.transform(x, lambda v: F.abs(v)))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    scaled = F.transform(x, lambda v: v / most)
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v * v))
-    fine = x.isNotNull() & (F.size(x) > 0) & ~bad & (most > 0)
+    """vec_id, label_key, x: rows that can link, x scaled to length 1 in double precision."""
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-    return rows.select("vec_id", "label", F.when(fine, F.transform(scaled, lambda v: v / size)).alias("x")).where(F.col("x").isNotNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label_key"), F.col("embedding").cast("array<double>").alias("x"))
+
+    def run(batches):
+        for batch in batches:
+            at, out = [], []
+            for i, v in enumerate(batch.column("x")):
+                x = v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0)  # nulls within are nan here
+                most = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0
+                if most > 0:
+                    x = x / most
+                    at.append(i)
+                    out.append(x / np.sqrt((x * x).sum()))
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column("vec_id"), kept.column("label_key"), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "label_key", "x"])
+
+    return rows.mapInArrow(run, "vec_id long, label_key string, x array<double>")
 
 
 def _matrix(lists) -> np.ndarray:
@@ -225,10 +234,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
     table gives an empty result.
     """
     scratch = Scratch(embeddings.sparkSession, "nndescent")
-    rows = usable(embeddings).withColumn("label_key", F.col("label").cast("string")).drop("label")
-    rows = scratch.save(rows.withColumn("class", F.xxhash64("label_key", "x")), "rows")
+    rows = scratch.save(usable(embeddings), "rows")
     # a class is known by its smallest vec_id
-    classes = rows.groupBy("label_key", "x").agg(F.min("vec_id").cast("long").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("class").alias("class"))
+    classes = rows.groupBy("label_key", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     vectors = scratch.save(classes, "classes")
     n = vectors.count()
     edges, tried = None, 0
