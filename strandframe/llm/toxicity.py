@@ -68,27 +68,30 @@ class Model:
         return float(1 - clear), worst, top
 
 
-def fit(bags: list[list[list[int]]], y: np.ndarray, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> Model:
-    """Fit on documents (sentences of hashed words) with labels 0 or 1, by gradient steps on the noisy-or's log loss."""
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, rounds: int = 300, rate: float = 0.3, shrink: float = 1e-4) -> Model:
+    """Fit on documents (their hashed words, and the number of words of each sentence) with labels 0 or 1, by gradient steps on the noisy-or's log loss."""
     rate_of = float(y.mean()) if len(y) else 0.0
     if not 0 < rate_of < 1:
         return Model(min(max(rate_of, 1e-6), 1 - 1e-6), 0.0, {})
-    docs = [np.unique(np.fromiter((w for s in bag for w in s), np.int64)) for bag in bags]
-    toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for d, label in zip(docs, y, strict=True):
-        (toxic if label else clean)[d] += 1
+    toxic, clean = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
+    for (ids, _), label in zip(bags, y, strict=True):
+        (toxic if label else clean)[np.unique(ids)] += 1
     lift = ((toxic + 0.5) / (y.sum() + 1)) / ((clean + 0.5) / ((1 - y).sum() + 1))
     evidence = np.flatnonzero((toxic >= LEAST_DOCS) & (lift >= LEAST_LIFT))
-    place = {int(b): i for i, b in enumerate(evidence)}
-    words, sentence, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
-            found = {place[w] for w in s if w in place}
-            if found:
-                words += found
-                sentence += [len(doc)] * len(found)
-                doc.append(d)
-    words, sentence, doc = (np.array(x, np.int64) for x in (words, sentence, doc))
+    place = np.full(BUCKETS, -1, np.int32)
+    place[evidence] = np.arange(len(evidence))
+    # (document, sentence, evidence) of all occurrences, once each
+    found = []
+    for d, (ids, sizes) in enumerate(bags):
+        at = place[ids]
+        held = at >= 0
+        if held.any():
+            of = np.repeat(np.arange(len(sizes)), sizes)[held]
+            found.append(np.column_stack([np.full(len(of), d), of, at[held]]))
+    rows = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+    words = rows[:, 2]
+    pairs, sentence = np.unique(rows[:, :2], axis=0, return_inverse=True)
+    sentence, doc = sentence.reshape(-1), pairs[:, 0]
     theta, bias, leak = np.zeros(len(evidence)), 0.0, -3.0
     grads = [np.zeros(len(evidence)), 0.0, 0.0]
     for _ in range(rounds):
@@ -133,12 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             )
 
     found = rows_in.mapInArrow(run, "toxic int, words array<int>, sizes array<int>").toArrow()
-    bags = []
-    for words, sizes in zip(found.column("words"), found.column("sizes"), strict=True):
-        ids = words.values.to_numpy(zero_copy_only=False)
-        cuts = np.cumsum(sizes.values.to_numpy(zero_copy_only=False))[:-1] if len(sizes.values) else []
-        bags.append([x.tolist() for x in np.split(ids, cuts)] if len(sizes.values) else [])
-    return fit(bags, found.column("toxic").to_numpy().astype(float))
+    arrays = lambda c: [x.values.to_numpy(zero_copy_only=False) for x in found.column(c)]
+    return fit(list(zip(arrays("words"), arrays("sizes"), strict=True)), found.column("toxic").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
