@@ -43,7 +43,7 @@ def word_array(text: Column) -> Column:
 _ONES = 0x0101010101010101
 _HALF = 0x4040404040404040
 #: Counts in lanes of eight bits stay below 128, so that no sum of longs overflows.
-_LANE = 127
+LANE = 127
 
 
 def _packed(hashes: Column) -> Column:
@@ -61,6 +61,16 @@ def _packed(hashes: Column) -> Column:
     )
 
 
+def packed_sums(h: Column) -> list[Column]:
+    """Aggregates c0 ... c7: the counts of each bit over at most LANE rows of hash h, packed like those of simhash."""
+    return [F.sum((F.shiftrightunsigned(h, k) if k else h).bitwiseAND(F.lit(_ONES))).alias(f"c{k}") for k in range(8)]
+
+
+def simhash_of_sums(n: Column) -> Column:
+    """SimHash from the columns c0 ... c7 of packed_sums over n rows, at most LANE."""
+    return F.when(n == 0, F.lit(0).cast("long")).otherwise(_majority({f"c{k}": F.col(f"c{k}") for k in range(8)}, n))
+
+
 def simhash(hashes: Column, n: Column) -> Column:
     """64-bit SimHash of an array of 64-bit hashes; n is its size. A bit is 1 if set in over half of them.
 
@@ -73,7 +83,7 @@ def simhash(hashes: Column, n: Column) -> Column:
         lambda acc, s: _majority(s, n),
     )
     slices = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / _LANE).cast("int")), lambda i: F.slice(hashes, i * _LANE + 1, F.lit(_LANE))
+        F.sequence(F.lit(0), F.floor((n - 1) / LANE).cast("int")), lambda i: F.slice(hashes, i * LANE + 1, F.lit(LANE))
     )
     counts = F.aggregate(
         slices,
@@ -99,10 +109,10 @@ def simhash(hashes: Column, n: Column) -> Column:
         F.lit(0).cast("long"),
         lambda acc, bit: acc.bitwiseOR(bit),
     )
-    return F.when(n == 0, F.lit(0).cast("long")).when(n <= _LANE, short).otherwise(long)
+    return F.when(n == 0, F.lit(0).cast("long")).when(n <= LANE, short).otherwise(long)
 
 
-def _majority(s: Column, n: Column) -> Column:
+def _majority(s: Column | dict[str, Column], n: Column) -> Column:
     # a lane with a count over n div 2 reaches 64 once 63 - n div 2 is added, and none reaches 128
     add = (F.lit(63) - F.floor(n / 2)).cast("long") * F.lit(_ONES)
     out = F.lit(0).cast("long")
