@@ -16,6 +16,7 @@ Layout of a shard, little-endian:
 
 from __future__ import annotations
 
+import gc
 import struct
 import uuid
 import zlib
@@ -59,37 +60,44 @@ class PieceEncoder:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        if "\0" not in text and "  " not in text:
-            parts = text.replace(" ", "\0 ").split("\0")
-        else:
+        if "\0" in text or any(x in text for x in _BLANKS) or text[:1] == " " or text[-1:] == " ":
             parts = text.split(" ")
-            parts = [parts[0], *(" " + p for p in parts[1:])]
-        if "" not in parts and all(map(str.strip, parts)) and not any(x in text for x in _BLANKS):
-            return parts
-        out: list[str] = []
-        for p in parts:
-            if out and (p[1:2].strip() == "" or out[-1][-1:].strip() == ""):
-                out[-1] += p
-            else:
-                out.append(p)
-        return out
+            out = parts[:1]
+            for p in parts[1:]:
+                if p[:1].strip() == "" or out[-1][-1:].strip() == "":
+                    out[-1] += " " + p
+                else:
+                    out.append(" " + p)
+            return out
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian u32."""
+        was = gc.isenabled()
+        gc.disable()  # millions of short-lived strings and no cycles: the collector would only walk them
+        try:
+            return self._encode(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut(t) for t in texts]
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        new = {p for pieces in cut for p in pieces if p not in known}
+        new = set().union(*cut).difference(known)
         joined, cores = [], set()
         for p in new:
             core = p.rstrip(_MARKS)
             if len(core) < len(p) and core[-1:].isalnum():
-                joined.append((p, core, p[len(core) :]))
-                cores.update(x for x in joined[-1][1:] if x not in known)
+                marks = p[len(core) :]
+                joined.append((p, core, marks))
+                cores.add(core)
+                cores.add(marks)
             else:
                 cores.add(p)
-        order = list(cores)
+        order = list(cores.difference(known))
         for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
             known[p] = array("I", e.ids).tobytes()
         for p, core, marks in joined:
@@ -97,38 +105,67 @@ class PieceEncoder:
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
 
-#: Where a cut could stand beside white space.
-_BLANKS = (" \n", "\n ", " \t", "\t ", " \r", "\r ")
-
-
-def pack_block(ids: np.ndarray) -> bytes:
-    """One block of u32 ids (at most 65,536, at least one)."""
-    low = ids.min()
-    rest = (ids - low).astype("<u4")
-    k = max(0, int(np.ceil(PERCENTILE * len(rest))) - 1)
-    width = int(np.partition(rest, k)[k]).bit_length()
-    over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width) if width else np.empty(0, np.uint8)
-    return b"".join(
-        (_HEAD.pack(width, 0, len(over), len(ids), int(low)), np.packbits(bits, bitorder="little").tobytes(), over.astype("<u2").tobytes(), rest[over].tobytes())
-    )
-
-
-def unpack_block(data: memoryview) -> tuple[np.ndarray, int]:
-    """The ids of the block that data starts with, and its length in bytes."""
-    width, _, n_over, n, low = _HEAD.unpack_from(data)
-    at = _HEAD.size
-    size = (n * width + 7) // 8
-    rest = np.zeros((n, 4), np.uint8)
-    if width:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-        packed = np.packbits(bits, axis=1, bitorder="little")
-        rest[:, : packed.shape[1]] = packed
-    rest = rest.reshape(-1).view("<u4")
-    at += size
-    over = np.frombuffer(data, "<u2", n_over, at)
-    rest[over] = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
-    return rest + np.uint32(low), at + 6 * n_over
+#: A space beside other white space: there, texts are cut with more care.
+_BLANKS = tuple(x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for x in (" " + c, c + " ")) + ("  ",)
+
+
+def pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """Blocks of BLOCK u32 ids each, the last of what is left; blocks of equal width are packed together."""
+    whole = len(ids) // BLOCK
+    out: list[bytes] = [b""] * whole
+    for rows, first in ((ids[: whole * BLOCK].reshape(whole, BLOCK), 0), (ids[whole * BLOCK :].reshape(1, -1), whole)):
+        if not rows.size:
+            continue
+        n = rows.shape[1]
+        low = rows.min(1)
+        rest = (rows - low[:, None]).astype("<u4")
+        k = max(0, int(np.ceil(PERCENTILE * n)) - 1)
+        held = np.partition(rest, k, axis=1)[:, k]
+        # the bits that the percentile needs
+        widths = np.where(held > 0, np.floor(np.log2(np.maximum(held, 1).astype(np.float64))).astype(np.int64) + 1, 0)
+        out += [b""] * (first + len(rows) - len(out))
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            part = rest[at]
+            size = (n * w + 7) // 8
+            bits = np.zeros((len(at), n * w), np.uint8)
+            if w:
+                bits = np.unpackbits(part.reshape(-1, 1).view(np.uint8), axis=1, bitorder="little", count=w).reshape(len(at), n * w)
+            packed = np.packbits(bits, axis=1, bitorder="little").tobytes()
+            row, col = np.nonzero(part >> np.uint32(w)) if w < 32 else (np.empty(0, np.int64),) * 2
+            cut = np.searchsorted(row, np.arange(len(at) + 1))
+            places, values = col.astype("<u2").tobytes(), part[row, col].tobytes()
+            for i, block in enumerate(at.tolist()):
+                lo, hi = int(cut[i]), int(cut[i + 1])
+                head = _HEAD.pack(w, 0, hi - lo, n, int(low[block]))
+                out[first + block] = b"".join((head, packed[i * size : (i + 1) * size], places[2 * lo : 2 * hi], values[4 * lo : 4 * hi]))
+    return out
+
+
+def unpack_blocks(data: memoryview, starts: list[int]) -> np.ndarray:
+    """The ids of the blocks that begin at starts, in order; blocks of equal width and size are unpacked together."""
+    heads = [_HEAD.unpack_from(data, at) for at in starts]
+    ends = np.cumsum([h[3] for h in heads])
+    out = np.empty(int(ends[-1]) if heads else 0, "<u4")
+    alike: dict[tuple[int, int], list[int]] = {}
+    for i, (w, _, _, n, _) in enumerate(heads):
+        alike.setdefault((w, n), []).append(i)
+    for (w, n), blocks in alike.items():
+        size = (n * w + 7) // 8
+        rest = np.zeros((len(blocks) * n, 4), np.uint8)
+        if w:
+            raw = np.stack([np.frombuffer(data, np.uint8, size, starts[i] + _HEAD.size) for i in blocks])
+            bits = np.unpackbits(raw, axis=1, bitorder="little", count=n * w).reshape(len(blocks) * n, w)
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            rest[:, : packed.shape[1]] = packed
+        rest = rest.reshape(-1).view("<u4").reshape(len(blocks), n)
+        for r, i in enumerate(blocks):
+            _, _, n_over, _, low = heads[i]
+            at = starts[i] + _HEAD.size + size
+            row = rest[r]
+            row[np.frombuffer(data, "<u2", n_over, at)] = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
+            out[int(ends[i]) - n : int(ends[i])] = row + np.uint32(low)
+    return out
 
 
 class ShardWriter:
@@ -154,9 +191,9 @@ class ShardWriter:
     def _flush(self, last: bool) -> None:
         ids = np.frombuffer(b"".join(self.open), "<u4")
         whole = len(ids) if last else len(ids) // BLOCK * BLOCK
-        for at in range(0, whole, BLOCK):
+        for block in pack_blocks(ids[:whole]):
             self.offsets.append(self.offset)
-            self._put(pack_block(ids[at : min(at + BLOCK, whole)]))
+            self._put(block)
         self.open, self.n_open = [ids[whole:].tobytes()], len(ids) - whole
 
     def close(self) -> None:
@@ -194,7 +231,7 @@ class ShardReader:
             end = min(b + step, len(self.offsets) - 1)
             self.stream.seek(self.offsets[b])
             data = memoryview(self.stream.read(self.offsets[end] - self.offsets[b]))
-            yield np.concatenate([unpack_block(data[self.offsets[k] - self.offsets[b] :])[0] for k in range(b, end)])
+            yield unpack_blocks(data, [int(x - self.offsets[b]) for x in self.offsets[b:end]])
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}

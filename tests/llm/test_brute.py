@@ -222,12 +222,13 @@ def test_resampling(spark, docs, texts):
 
 def test_blocks():
     rnd = random.Random(8)
-    for n in (1, 2, 1023, 1024):
+    for n in (1, 2, 1023, 1024, 1025, 5000):
         for top in (1, 2, 300, 50_257, 2**32 - 1):
             x = np.array([rnd.randrange(top) if rnd.random() > 0.05 else rnd.randrange(2**32) for _ in range(n)], np.uint32)
-            data = tokens.pack_block(x)
-            y, size = tokens.unpack_block(memoryview(data + b"more"))
-            assert (x == y).all() and size == len(data)
+            blocks = tokens.pack_blocks(x)
+            starts = np.cumsum([0, *(len(b) for b in blocks)])[:-1].tolist()
+            assert len(blocks) == -(-n // tokens.BLOCK) and (tokens.unpack_blocks(memoryview(b"".join(blocks)), starts) == x).all()
+    assert tokens.pack_blocks(np.empty(0, np.uint32)) == []
 
 
 def test_pipeline(spark, texts, items):
