@@ -1,12 +1,13 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
-
-An item of n words is looked for in windows of n words. A window can only be
-similar to an item if they share a shingle, so windows are laid, at every
-offset, over each shingle of a document that is in the benchmark too. Windows
-and items of one size get a SimHash of their words. Fingerprints within RADIUS
-bits agree in one of RADIUS + 1 blocks, so a join on (size, block, bits) finds
-all of them; the weighted Jaccard similarity of the shingles (each weighs as
-often as it occurs) then decides. All of it is DataFrame functions.
+"""Benchmark decontamination: item-sized windows that hold enough shingles of the benchmark, exact weighted-shingle similarity.
+
+An item of n words is looked for in windows of n words. Similarity s of
+shingles a and b in number means that at least s (a + b) / (1 + s) of them are
+shared, so a window counts only if as many of its shingles are in items of
+that size; where they lie gives the windows without trying each. Of its
+shingles at most the rest can be missing from a similar item, so one of the
+first rest + 1 leads to it. Neither step loses a similar window; the weighted
+Jaccard similarity of the shingles (each weighs as often as it occurs) then
+decides. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import extended, simhash, small, word_array
+from strandframe.llm.common import extended, small, word_array
 from strandframe.scratch import Scratch
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 7
 
 
 def _words(text: Column) -> Column:
@@ -42,27 +42,19 @@ def _shingles(words: Column, width: Column) -> Column:
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Jaccard similarity of two arrays of shingles, each shingle weighing as often as it occurs."""
     count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    weighted = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    once = lambda xs: F.size(F.array_distinct(xs)) == F.size(xs)
+    # where no shingle repeats on one side, each shared one counts once
+    shared = F.when(once(a) | once(b), F.size(F.array_intersect(a, b))).otherwise(weighted)
     return shared / (F.size(a) + F.size(b) - shared)
 
 
-def _blocks(fp: Column, radius: int) -> Column:
-    """(number, bits) of radius + 1 blocks of a 64-bit fingerprint."""
-    parts = radius + 1
-    cut = [64 * i // parts for i in range(parts + 1)]
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"))
-            for i, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True))
-        ]
-    )
-
-
-def _word_simhash(words: Column) -> Column:
-    return simhash(F.transform(words, lambda w: F.xxhash64(w)), F.size(words))
+def _needed(a: Column, b: Column, similarity: float) -> Column:
+    """The fewest shared of a and b shingles that give the similarity."""
+    return F.greatest(F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6).cast("int"), F.lit(1))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_key, item_id, start_word, n_words, similarity: the best window of each document for each item found in it.
 
     docs has doc_id and text, items has item_id and text; other columns are
@@ -75,7 +67,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
     scratch = Scratch(docs.sparkSession, "decontaminate")
     words = items.select("item_id", _words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0)
     words = words.withColumn("n", F.size("item_words")).withColumn("width", F.least(F.lit(width), F.col("n")))
-    bench = scratch.save(words.withColumn("item_fp", _word_simhash(F.col("item_words"))), "items")
+    bench = scratch.save(words.withColumn("item_key", F.xxhash64("item_words")), "items")
     widths = [r[0] for r in bench.select("width").distinct().collect()]  # at most `width` numbers
 
     key = [F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")]
@@ -85,38 +77,43 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
         of_width = bench.where(F.col("width") == w)
         shingles = of_width.select("n", F.explode(_shingle_hashes(F.col("item_words"), w)).alias("h")).distinct()
         shingles = scratch.save(shingles.groupBy("h").agg(F.collect_set("n").alias("sizes")), "shingles")
-        at = text.select("doc_id", "text_key", F.posexplode(_shingle_hashes(F.col("words"), w)).alias("pos", "h"))
-        found = at.join(small(shingles), "h").select("doc_id", "text_key", "pos", F.lit(w).alias("width"), F.explode("sizes").alias("n"))
+        at = text.select("doc_id", "text_key", F.size("words").alias("total"), F.posexplode(_shingle_hashes(F.col("words"), w)).alias("pos", "h"))
+        found = at.join(small(shingles), "h").select("doc_id", "text_key", "total", "pos", F.lit(w).alias("width"), F.explode("sizes").alias("n"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], extended(docs.select("doc_id"), ("text_key", "long"), ("item_id", items.schema["item_id"].dataType), ("start_word", "integer"), ("n_words", "integer"), ("similarity", "double")))
 
-    places = hits.groupBy("doc_id", "text_key", "n").agg(F.collect_set(F.struct("pos", "width")).alias("places"))
-    places = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "places")).alias("sizes"))
+    places = hits.groupBy("doc_id", "text_key", "n", "width", "total").agg(F.sort_array(F.collect_set("pos")).alias("places"))
+    places = places.withColumn("held", F.least("n", "total") - F.col("width") + 1)
+    places = places.withColumn("need", _needed(F.col("n") - F.col("width") + 1, F.col("held"), similarity)).where(F.size("places") >= F.col("need"))
+    most = F.greatest(F.col("total") - F.col("n"), F.lit(0))
+
+    def around(i: Column) -> Column:
+        """The starts of windows that hold the places from i to the needed one."""
+        lo = F.greatest(F.get("places", i + F.col("need") - 1) - F.col("held") + 1, F.lit(0))
+        hi = F.least(F.get("places", i), most)
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("places") - F.col("need")), around)))
+    places = places.select("doc_id", "text_key", "n", "width", "need", starts.alias("starts")).where(F.size("starts") > 0)
+    places = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "width", "need", "starts")).alias("sizes"))
     places = scratch.save(places, "places")
     chosen = places.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "sizes")
     there = text.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).dropDuplicates(["doc_id", "text_key"])
 
-    sized = there.select("doc_id", "text_key", "words", F.explode("sizes").alias("s")).select("doc_id", "text_key", "words", "s.n", "s.places")
-    most = F.greatest(F.size("words") - F.col("n"), F.lit(0))
-    starts = F.transform(
-        "places",
-        lambda p: F.sequence(
-            F.least(F.greatest(p["pos"] + p["width"] - F.col("n"), F.lit(0)), most), F.least(p["pos"], most)
-        ),
-    )
-    laid = sized.select("doc_id", "text_key", "n", "words", F.explode(F.array_distinct(F.flatten(starts))).alias("start_word"))
-    windows = laid.select("doc_id", "text_key", "n", "start_word", F.slice("words", F.col("start_word") + 1, F.col("n")).alias("window"))
-    windows = windows.withColumn("fp", _word_simhash(F.col("window")))
-    keyed = windows.select("*", F.explode(_blocks(F.col("fp"), radius)).alias("k")).select("doc_id", "text_key", "n", "start_word", "window", "fp", "k.block", "k.bits")
+    sized = there.select("doc_id", "text_key", "words", F.explode("sizes").alias("s")).select("doc_id", "text_key", "words", "s.n", "s.width", "s.need", "s.starts")
+    laid = sized.select("doc_id", "text_key", "n", "width", "need", "words", F.explode("starts").alias("start_word"))
+    windows = laid.select("doc_id", "text_key", "n", "width", "need", "start_word", F.slice("words", F.col("start_word") + 1, F.col("n")).alias("window"))
+    windows = windows.select("doc_id", "text_key", "n", "need", "start_word", F.size("window").alias("n_words"), _shingles(F.col("window"), F.col("width")).alias("shingles"))
+    windows = scratch.save(windows, "windows")
+    first = F.slice("shingles", F.lit(1), F.size("shingles") - F.col("need") + 1)
+    keyed = windows.select("doc_id", "text_key", "n", "start_word", "n_words", "shingles", F.explode(F.array_distinct(first)).alias("shingle"))
     item = bench.withColumn("item_shingles", _shingles(F.col("item_words"), F.col("width")))
-    index = item.select("item_id", "item_shingles", "width", "item_fp", "n", F.explode(_blocks(F.col("item_fp"), radius)).alias("k"))
-    index = index.select("item_id", "item_shingles", "width", "item_fp", "n", "k.block", "k.bits")
-    near = keyed.join(small(index), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-    near = near.withColumn("shingles", _shingles(F.col("window"), F.col("width")))
+    index = item.select("item_id", "item_key", "item_shingles", "n", F.explode(F.array_distinct("item_shingles")).alias("shingle"))
+    near = keyed.join(small(index), ["n", "shingle"])
     # the shingles are columns behind a shuffle, so that no lambda of the similarity builds them again
-    near = near.groupBy("doc_id", "text_key", "start_word", "n", "item_id", "item_fp").agg(
-        F.first("shingles").alias("shingles"), F.first("item_shingles").alias("item_shingles"), F.first(F.size("window")).alias("n_words")
+    near = near.groupBy("doc_id", "text_key", "start_word", "n", "item_id", "item_key").agg(
+        F.first("shingles").alias("shingles"), F.first("item_shingles").alias("item_shingles"), F.first("n_words").alias("n_words")
     )
     scored = near.withColumn("similarity", weighted_similarity(F.col("shingles"), F.col("item_shingles")))
     best = scored.groupBy("doc_id", "text_key", "item_id").agg(

@@ -85,6 +85,24 @@ def test_decontamination(spark, docs, texts, items):
     assert (10_000, 0) in got and (10_001, 1) in got and not any(d == 10_002 for d, _ in got)
 
 
+def test_edited_passages(spark, items):
+    """Items with one word replaced, short ones too, are found wherever their similarity says so, and nowhere else."""
+    rnd, texts, items = random.Random(9), {}, {i: t for i, t in items.items() if i < 10}
+    for i, item in items.items():
+        words = (item or "").split()
+        for n in (len(words), 14, 20):
+            if len(words) >= n > 0:
+                for at in {0, n - 1, n // 2, rnd.randrange(n)}:
+                    texts[len(texts)] = " ".join(["before", *words[:at], "zzz", *words[at + 1 : n], "after"])
+    bench = {**items, **{1000 + i: " ".join((t or "").split()[:n]) for i, t in items.items() for n in (14 + 6 * (i % 2),)}, 5000: "and so and so and so and so and so and so", 5001: "one two three"}
+    texts |= {len(texts): "and so and so and so and so and so and so and", len(texts) + 1: "one two", len(texts) + 2: "zero one two three"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = decontaminate.op9_query(docs, spark.createDataFrame(list(bench.items()), "item_id long, text string")).collect()
+    got, exp = {(r.doc_id, r.item_id): r.similarity for r in found}, brute.contaminated(texts, bench)
+    assert got.keys() == exp.keys() and all(abs(got[k] - exp[k]) < 1e-6 for k in got) and len(found) == len(got)
+    assert min(exp.values()) < 0.85
+
+
 def test_lines(docs, texts):
     few = {d: t for d, t in texts.items() if d % 3 == 0}
     found = lines.line_decisions(docs.where("doc_id % 3 = 0")).where("line_no is not null").collect()
