@@ -117,6 +117,13 @@ def test_fuzzy_lines(spark):
     assert not got[3, 0] and not got[3, 1] and got[2, 1]
 
 
+def test_unicode_punctuation(spark):
+    """Lines that differ in quotes, dashes, spaces and punctuation of any script are one class."""
+    rows = [(1, "she said \"so it is\" - and left\n你好,世界.再见"), (2, "she\u00a0said \u201cso it is\u201d \u2014 and left\n你好，世界。再见"), (3, "she said so it is, and he left for good")]
+    got = {(r.doc_id, r.line_no): r.first for r in lines.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): False, (3, 0): True}
+
+
 def test_mixing(docs, texts):
     got = mixing.op2_query(docs).collect()
     sizes, taken, largest = {}, {}, {}
