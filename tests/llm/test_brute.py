@@ -124,6 +124,15 @@ def test_unicode_punctuation(spark):
     assert got == {(1, 0): True, (1, 1): True, (2, 0): False, (2, 1): False, (3, 0): True}
 
 
+def test_exactly_similar(spark):
+    """An edit similarity of exactly 0.8 is enough, whatever the length."""
+    rows = [(n, "a" * n, "a" * (n - n // 5 - 1) + "b" * (n // 5) + "a") for n in (5, 10, 15, 20, 50, 100)]
+    rows += [(-n, a, b.replace("b", "bb", 1)[: n - 1] + "b") for n, a, b in rows]
+    got = {r.n: r.similarity for r in lines.edit_similarity(spark.createDataFrame(rows, "n int, a string, b string"), "a", "b", 0.8).collect()}
+    exp = {n: 1 - brute.edit_distance(a, b) / max(len(a), len(b)) for n, a, b in rows}
+    assert all(got[n] == (exp[n] if exp[n] >= 0.8 else None) for n in exp) and exp[5] == exp[100] == 0.8 and exp[-5] < 0.8
+
+
 def test_mixing(docs, texts):
     got = mixing.op2_query(docs).collect()
     sizes, taken, largest = {}, {}, {}
