@@ -75,26 +75,44 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def line_firsts(texts, radius=3, least=0.8, few=8):
-    """(doc_id, line_no) to whether the line stays."""
-    import re
+def normalised(line):
+    """Lower case, letters and digits of any script, single spaces."""
+    import regex
+
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+
+
+def blocks_of(norm):
+    """The hashes of a line's distinct words by the block that each votes in."""
+    blocks = [[] for _ in range(4)]
+    for w in dict.fromkeys(norm.split(" ")):
+        h = xxhash.xxh64_intdigest(w.encode(), 42)
+        blocks[(h >> 29 ^ h) & 3].append(h)
+    return blocks
+
 
+def line_keys(norm):
+    """The keys of a line: pairs of blocks of its SimHash."""
+    blocks = blocks_of(norm)
+    bits = [tuple(2 * sum(h >> s & 1 for h in hs) > len(hs) for s in range(64) if s % 8 // 2 == b) for b, hs in enumerate(blocks)]
+    n = [len(hs) for hs in blocks]
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    return {(i, j, bits[i], bits[j]) for i, j in pairs if n[i] + n[j] >= (3 if sum(n) > 5 else 2) and 4 * (n[i] + n[j]) >= sum(n)}
+
+
+def line_firsts(texts, least=0.8):
+    """(doc_id, line_no) to whether the line stays."""
     where = defaultdict(list)
     for d in sorted(texts):
         for i, line in enumerate((texts[d] or "").split("\n")):
-            norm = re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", line.lower()).strip(" ")
+            norm = normalised(line)
             if norm:
                 where[norm].append((d, i))
-    norms, groups, fps = list(where), Union(), {}
-    for n in norms:
-        words = n.split(" ")
-        if len(words) < few:
-            words = [" ".join([*words[i - 1 : i if i else 0], "", *words[i : i + 1]]) for i in range(len(words) + 1)]
-        fps[n] = majority([w.encode() for w in words])
-        groups.find(n)
+    norms, groups, keys = list(where), Union(), {n: line_keys(n) for n in where}
     for i, a in enumerate(norms):
+        groups.find(a)
         for b in norms[i + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= radius and groups.find(a) != groups.find(b) and min(len(a), len(b)) >= least * max(len(a), len(b)):
+            if keys[a] & keys[b] and groups.find(a) != groups.find(b) and min(len(a), len(b)) >= least * max(len(a), len(b)):
                 if 1 - edit_distance(a, b) / max(len(a), len(b)) >= least:
                     groups.join(a, b)
     first = {}

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -114,7 +115,65 @@ def test_fuzzy_lines(spark):
     rows = [(1, long + "\nthe of the"), (2, long.replace("word30", "word3O") + "\nthe and the"), (3, "Word0, " + long[6:] + "!\nthe, OF the"), (4, "nothing alike here")]
     got = {(r.doc_id, r.line_no): r.first for r in lines.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.line_firsts(dict(rows))
-    assert not got[3, 0] and not got[3, 1] and got[2, 1]
+    assert not got[2, 0] and not got[3, 0] and not got[3, 1] and got[2, 1]
+
+
+@pytest.fixture(scope="module")
+def edited():
+    """(number, original, line with one word replaced, inserted or dropped) of lines from 8 to 300 words, at an edit similarity of 0.8 or more."""
+    rnd, out = random.Random(12), []
+    words = ["".join(rnd.choice("aeioubcdfg") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    common = words[:20]
+    for k in range(240):
+        n = rnd.choice([8, 10, 14, 20, 30, 50, 126, 140, 300])
+        a = [rnd.choice(common if rnd.random() < 0.4 else words) for _ in range(n)]
+        at, new = rnd.randrange(n), rnd.choice(words)
+        b = [a[:at] + [new] + a[at + 1 :], a[:at] + [new] + a[at:], a[:at] + a[at + 1 :]][k % 3]
+        a, b = " ".join(a), " ".join(b)
+        if 1 - brute.edit_distance(a, b) / max(len(a), len(b)) >= 0.8:
+            out.append((k, a, b))
+    return out
+
+
+def test_recall_of_lines(spark, edited):
+    """Lines that differ by one word are found by edit similarity alone, whatever their length; no other lines are taken for them."""
+    df = spark.createDataFrame([(d, t) for k, a, b in edited for d, t in ((2 * k, a), (2 * k + 1, b))], "doc_id long, text string")
+    gone = {r.doc_id for r in lines.line_decisions(df).where("not first").collect()}
+    assert gone <= {2 * k + 1 for k, *_ in edited} and len(gone) >= 0.97 * len(edited)
+
+
+def test_hot_keys(spark):
+    """Lines of one key that are all different, dealt into parts, give the groups of all pairs."""
+    rnd = random.Random(13)
+    base = [f"{x}{i}" for i, x in enumerate("abcdefghijkl")]
+    blocks = {w: (xxhash.xxh64_intdigest(w.encode(), 42) >> 29 ^ xxhash.xxh64_intdigest(w.encode(), 42)) & 3 for w in base}
+    same = [w for w in base if blocks[w] in (0, 1)]
+    texts = {}
+    for d in range(60):
+        other = ["".join(rnd.choice("mnopqrst") for _ in range(12)) for _ in range(40)]
+        texts[d] = " ".join(same + [w for w in other if (xxhash.xxh64_intdigest(w.encode(), 42) >> 29 ^ xxhash.xxh64_intdigest(w.encode(), 42)) & 3 > 1][: 3 + d % 3])
+        if d % 7 == 1:
+            texts[d] = texts[d - 1][:-1]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): r.first for r in lines.line_decisions(df, key_rows=8).collect()}
+    assert got == brute.line_firsts(texts) and not all(got.values())
+
+
+def test_long_lines(spark, edited):
+    """Lines of any length have the fingerprints of the plain version; bounds of the edit distance are none below it."""
+    rnd = random.Random(14)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(n)) for n in (1, 5, 126, 127, 128, 400, 16_100)]
+    rows = lines._lines(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = rows.join(lines._fingerprints(rows), "line_id").select("norm", F.size(lines._keys(F.col("fp"), "counts")).alias("n"), "fp", F.xxhash64("norm").alias("h")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        bits = {(i, x): 2 * sum(h >> s & 1 for h in hs) > len(hs) for i, hs in enumerate(brute.blocks_of(r.norm)) for x, s in enumerate(s for s in range(64) if s % 8 // 2 == i)}
+        fp = sum(1 << [s for s in range(64) if s % 8 // 2 == i][x] for (i, x), on in bits.items() if on)
+        assert r.fp & (2**64 - 1) == fp and r.n == len(brute.line_keys(r.norm))
+    pairs = spark.createDataFrame(edited[:80] + [(1000, "a b c d", "x y"), (1001, "a", "b c d e f g"), (1002, "a b c", "c b a")], "k int, a string, b string")
+    pairs = pairs.select("k", "a", "b", F.split("a", " ").alias("wa"), F.split("b", " ").alias("wb"))
+    for r in pairs.select("k", F.levenshtein("a", "b").alias("d"), lines._aligned(F.col("wa"), F.col("wb")).alias("x"), lines._in_chunks(F.col("wa"), F.col("wb")).alias("y")).collect():
+        assert r.x >= r.d and r.y >= r.d
 
 
 def test_unicode_punctuation(spark):
