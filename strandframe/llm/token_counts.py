@@ -7,17 +7,17 @@ quantile and the total of texts cut at any limit are one look-up each.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import extended
-from strandframe.llm.tokens import _encoder, default_tokenizer
+from strandframe.llm.tokens import _encoder, bounded, default_tokenizer
 from strandframe.scratch import Scratch
 
 #: Lengths of one range of the suffix sums.
 RANGE = 1024
-_DOCS = 512
 
 
 def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -27,8 +27,9 @@ def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches):
         encoder = _encoder(tokenizer_path)
         for batch in batches:
-            n = [len(x) // 4 for at in range(0, batch.num_rows, _DOCS) for x in encoder.encode(batch.column("text").slice(at, _DOCS).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
+            text = batch.column("text")
+            n = [encoder.lengths(text.slice(at, rows)) for at, rows in bounded(text)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([*n, np.empty(0, np.int64)]))], ["doc_id", "n_tokens"])
 
     return rows.mapInArrow(run, extended(rows.select("doc_id"), ("n_tokens", "long")))
 

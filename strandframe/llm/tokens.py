@@ -17,13 +17,16 @@ Layout of a shard, little-endian:
 from __future__ import annotations
 
 import gc
+import json
+import os
 import struct
 import uuid
 import zlib
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,76 +40,173 @@ CACHE_PIECES = 1_000_000
 _MAGIC = b"PFR1"
 _HEAD = struct.Struct("<BBHII")
 _TAIL = struct.Struct("<QQQQ4s")
-#: Documents that are encoded together, and ids that are packed or unpacked at once.
-_DOCS, _IDS = 512, 1 << 20
+#: Bytes of text that are encoded together, and ids that are packed or unpacked at once.
+TEXT_BYTES, _IDS = 8 << 20, 1 << 20
 _MARKS = ".,!?;:|*$%#&"
 
 
 class PieceEncoder:
-    """Ids of whole texts with a tokenizer whose pre-tokenizer splits before a single space, as byte-level BPE does.
-
-    A text is cut before each space that stands between two other characters:
-    no token reaches over such a place, so the pieces are encoded once and
-    remembered. A piece that ends in marks after a letter or digit is put
-    together from both parts.
+    """Ids of whole texts.
+
+    Byte-level tokenizers split before a single space that stands between two
+    other characters: no token reaches over such a place, so a text is cut
+    there and each distinct piece is encoded once and remembered. Arrow cuts
+    texts and numbers their distinct pieces; texts in which a space stands
+    beside other white space, or at an end, are cut with more care. A piece that
+    ends in marks after a letter or digit is put together from both parts. A
+    tokenizer of another kind encodes whole texts.
     """
 
     def __init__(self, tokenizer_path: str, pieces: int = CACHE_PIECES) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.by_pieces = splits_at_spaces(json.loads(self.tokenizer.to_str()))
+        self.tokenize = self.tokenizer.model.tokenize
         self.most = pieces
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # numbers of pieces: after a space, and as they are; of each number, where its ids are
+        self.spaced: dict[str, int] = {}
+        self.literal: dict[str, int] = {}
+        self.first, self.size, self.n = np.empty(1024, np.int64), np.empty(1024, np.int64), 0
+        self.store, self.n_store = np.empty(4096, np.uint32), 0
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        if "\0" in text or any(x in text for x in _BLANKS) or text[:1] == " " or text[-1:] == " ":
-            parts = text.split(" ")
-            out = parts[:1]
-            for p in parts[1:]:
-                if p[:1].strip() == "" or out[-1][-1:].strip() == "":
-                    out[-1] += " " + p
-                else:
-                    out.append(" " + p)
-            return out
-        return text.replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian u32."""
+        parts = text.split(" ")
+        out = parts[:1]
+        for p in parts[1:]:
+            if p[:1].strip() == "" or out[-1][-1:].strip() == "":
+                out[-1] += " " + p
+            else:
+                out.append(" " + p)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts): the ids of all texts one after the other, and how many each text has; null is an empty text."""
+        if not self.by_pieces:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+            return np.fromiter((x for ids in found for x in ids), np.uint32), np.array([len(ids) for ids in found], np.int64)
+        pieces, at = self._pieces(texts)
+        sizes = self.size[pieces]
+        ends = np.cumsum(sizes)
+        place = np.repeat(self.first[pieces] - (ends - sizes), sizes)
+        place += np.arange(len(place))
+        return self.store[place], np.add.reduceat(sizes, at)
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        if not self.by_pieces:
+            return self.encode(texts)[1]
+        pieces, at = self._pieces(texts)
+        return np.add.reduceat(self.size[pieces], at)
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the pieces of all texts, and where each text begins; every text has a piece."""
         was = gc.isenabled()
-        gc.disable()  # millions of short-lived strings and no cycles: the collector would only walk them
+        gc.disable()  # many short lists and no cycles: the collector would only walk them
         try:
-            return self._encode(texts)
+            return self._cut_and_numbered(texts)
         finally:
             if was:
                 gc.enable()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known.clear()
-        known = self.known
-        new = set().union(*cut).difference(known)
-        joined, cores = [], set()
-        for p in new:
-            core = p.rstrip(_MARKS)
-            if len(core) < len(p) and core[-1:].isalnum():
-                marks = p[len(core) :]
-                joined.append((p, core, marks))
-                cores.add(core)
-                cores.add(marks)
-            else:
-                cores.add(p)
-        order = list(cores.difference(known))
-        for p, e in zip(order, self.tokenizer.encode_batch_fast(order, add_special_tokens=False), strict=True):
-            known[p] = array("I", e.ids).tobytes()
-        for p, core, marks in joined:
-            known[p] = known[core] + known[marks]
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-
-
-#: A space beside other white space: there, texts are cut with more care.
-_BLANKS = tuple(x for c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000" for x in (" " + c, c + " ")) + ("  ",)
+    def _cut_and_numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.spaced) + len(self.literal) > self.most:
+            self._forget()
+        texts = texts.fill_null("")
+        careful = pc.match_substring_regex(texts, _CAREFUL)
+        words = pc.split_pattern(pc.if_else(careful, "", texts), " ")
+        at = words.offsets.to_numpy().astype(np.int64)
+        pieces = self._numbers(self.spaced, words.values, " ")
+        pieces[at[:-1]] = self._numbers(self.literal, words.values.take(pa.array(at[:-1])), "")
+        rows = np.flatnonzero(careful.to_numpy(zero_copy_only=False))
+        if len(rows):
+            cut = [self.cut(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            own = self._numbers(self.literal, pa.array([p for parts in cut for p in parts], pa.string()), "")
+            ends = np.cumsum([len(parts) for parts in cut])
+            sizes, parts, before = np.diff(at), [], 0
+            for r, lo, hi in zip(rows.tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                parts += [pieces[at[before] : at[r]], own[lo:hi]]
+                sizes[r], before = hi - lo, r + 1
+            pieces = np.concatenate([*parts, pieces[at[before] :]])
+            at = np.concatenate([[0], np.cumsum(sizes)])
+        return pieces, at[:-1]
+
+    def _numbers(self, known: dict[str, int], words: pa.Array, prefix: str) -> np.ndarray:
+        """The number of each word in known, which takes in new ones; prefix stands before each word in its text."""
+        coded = words.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        out = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, held = [names[i] for i in missing.tolist()], {}
+            found = [self._ids(w, prefix, held) for w in new]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+            self.store, self.n_store = _grown(self.store, self.n_store, flat)
+            self.first, _ = _grown(self.first, self.n, self.n_store - len(flat) + np.cumsum(sizes) - sizes)
+            self.size, n = _grown(self.size, self.n, sizes)
+            known.update(zip(new, range(self.n, n), strict=True))
+            out[missing] = np.arange(self.n, n)
+            self.n = n
+        return out[coded.indices.to_numpy()]
+
+    def _ids(self, word: str, prefix: str, held: dict[str, list[int]]) -> list[int]:
+        core = word.rstrip(_MARKS)
+        if len(core) == len(word) or not core[-1:].isalnum():
+            return self._encoded(prefix, word)
+        marks = word[len(core) :]
+        if marks not in held:
+            held[marks] = self._encoded("", marks)
+        if prefix + core not in held:
+            number = self.spaced.get(core) if prefix else None
+            at = self.first[number] if number is not None else 0
+            held[prefix + core] = self._encoded(prefix, core) if number is None else self.store[at : at + self.size[number]].tolist()
+        return held[prefix + core] + held[marks]
+
+    def _encoded(self, prefix: str, word: str) -> list[int]:
+        """The ids of a piece. A space and a word of letters is one unit of the model, which then needs no splitting."""
+        if prefix and word.isalpha() and max(word) < "\u0530":
+            unit = _BYTES[32] + word if word.isascii() else (prefix + word).encode().decode("latin-1").translate(_BYTES)
+            return [t.id for t in self.tokenize(unit)]
+        return self.tokenizer.encode(prefix + word, add_special_tokens=False).ids
+
+
+#: The letters that byte-level tokenizers write for bytes: printable ones stand for themselves, the others take those from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def _grown(held: np.ndarray, n: int, more: np.ndarray) -> tuple[np.ndarray, int]:
+    """held with more after its first n, and their number."""
+    if n + len(more) > len(held):
+        held = np.concatenate([held[:n], np.empty(n + 2 * len(more), held.dtype)])
+    held[n : n + len(more)] = more
+    return held, n + len(more)
+
+
+def splits_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its JSON) is known to split before each single space: byte-level, text as it is, no added token with white space or that takes some."""
+    pre = tokenizer.get("pre_tokenizer") or {}
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not any(c.isspace() for c in t["content"]) for t in tokenizer.get("added_tokens") or [])
+    return plain and tokenizer.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+
+
+#: A space at either end, or beside white space: there, texts are cut with more care.
+_WHITE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_CAREFUL = rf"\A | \z| [{_WHITE}]|[{_WHITE}] "
+
+
+def bounded(texts: pa.Array, most: int = TEXT_BYTES) -> list[tuple[int, int]]:
+    """(first, number) of runs of texts of some `most` bytes each, one text at least."""
+    sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(sizes) - 1) // most)) + 1
+    edges = [0, *cuts.tolist(), len(sizes)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False) if b > a]
 
 
 def pack_blocks(ids: np.ndarray) -> list[bytes]:
@@ -171,7 +271,7 @@ def unpack_blocks(data: memoryview, starts: list[int]) -> np.ndarray:
 class ShardWriter:
     def __init__(self, stream) -> None:
         self.stream, self.offset, self.offsets, self.docs = stream, 0, [], []
-        self.open: list[bytes] = []
+        self.open: list[np.ndarray] = []
         self.n_open = self.n_ids = 0
         self._put(_MAGIC)
 
@@ -179,22 +279,23 @@ class ShardWriter:
         self.stream.write(data)
         self.offset += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        n = len(ids) // 4
-        self.docs.append((doc_id, n))
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray) -> None:
+        """The ids of documents one after the other, and how many each has."""
+        self.docs += zip(doc_ids, counts.tolist(), strict=True)
         self.open.append(ids)
-        self.n_open += n
-        self.n_ids += n
+        self.n_open += len(ids)
+        self.n_ids += len(ids)
         if self.n_open >= _IDS:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.open), "<u4")
+        ids = np.concatenate(self.open) if self.open else np.empty(0, np.uint32)
         whole = len(ids) if last else len(ids) // BLOCK * BLOCK
-        for block in pack_blocks(ids[:whole]):
-            self.offsets.append(self.offset)
-            self._put(block)
-        self.open, self.n_open = [ids[whole:].tobytes()], len(ids) - whole
+        for lo in range(0, whole, _IDS):
+            for block in pack_blocks(ids[lo : min(lo + _IDS, whole)]):
+                self.offsets.append(self.offset)
+                self._put(block)
+        self.open, self.n_open = [ids[whole:].copy()], len(ids) - whole
 
     def close(self) -> None:
         self._flush(True)
@@ -264,7 +365,6 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    end = array("I", [end_id]).tobytes()
 
     def run(batches):
         from pyspark import TaskContext
@@ -272,16 +372,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         shard = TaskContext.get().partitionId()
         writer, encoder = None, _encoder(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, _DOCS):
-                part = batch.slice(at, _DOCS)
+            for at, n in bounded(batch.column("text")):
+                part = batch.slice(at, n)
                 if writer is None:
                     store, base = _filesystem(folder)
                     store.create_dir(base, recursive=True)
                     name = f"part-{shard:06d}-{uuid.uuid4().hex}.pfor"
                     stream = store.open_output_stream(f"{base}/{name}")
                     writer = ShardWriter(stream)
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()), strict=True):
-                    writer.add(doc_id, ids + end)
+                ids, counts = encoder.encode(part.column("text"))
+                ended = np.full(len(ids) + n, end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(n), counts)] = ids
+                writer.add(part.column("doc_id").to_pylist(), ended, counts + 1)
         if writer is not None:
             writer.close()
             stream.close()
