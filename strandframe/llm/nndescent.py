@@ -5,10 +5,12 @@ start from buckets of random hyperplanes, and improve by local joins: the
 neighbours of a vector are compared with each other, as neighbours of
 neighbours are likely neighbours. A list is saturated when even its last entry
 links (cosine at least the threshold): it may miss links, so its vector gets a
-list twice as long, up to LIST_MOST; what is then still saturated lies in a
-dense component, whose members are compared in blocks, all with all. An audit
-compares a bounded sample of vectors with all vectors; while it finds less than
-RECALL of their links, lists start again from further buckets.
+list twice as long, up to LIST_MOST. Links are kept as they are met, whether or
+not they stay in a list, so dense groups that border each other become one
+component. Components with a vector whose list is still saturated are compared
+in blocks, all with all. An audit compares a bounded sample of all vectors with
+all vectors; while it finds less than RECALL of their links, lists start again
+from further buckets, and after TRIES all vectors of a label are compared.
 """
 
 from __future__ import annotations
@@ -31,32 +33,44 @@ JOIN = 16
 #: Sets of hyperplanes, rounds of local joins at most, and the share of new links among all links below which they end.
 TABLES, ROUNDS, SETTLED = 8, 4, 0.01
 #: Vectors of the audit, and the share of their links that must be found.
-AUDIT_ROWS, RECALL = 256, 0.95
+AUDIT_ROWS, RECALL = 1024, 0.95
+#: Times that lists start from further buckets before all vectors of a label are compared in blocks.
+TRIES = 4
 #: Members of a block of a dense component.
 BLOCK = 1024
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id, label_key, x: rows that can link, x scaled to length 1 in double precision."""
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull())
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label_key"), F.col("embedding").cast("array<double>").alias("x"))
+    """vec_id, label_key, x of every row: x scaled to length 1 in double precision, null for rows that can't link."""
+    link = F.col("vec_id").isNotNull() & F.col("label").isNotNull()
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label_key"), F.when(link, F.col("embedding").cast("array<double>")).alias("x"))
 
     def run(batches):
         for batch in batches:
-            at, out = [], []
-            for i, v in enumerate(batch.column("x")):
+            out = []
+            for v in batch.column("x"):
                 x = v.values.to_numpy(zero_copy_only=False) if v.is_valid else np.empty(0)  # nulls within are nan here
                 most = np.abs(x).max() if len(x) and np.isfinite(x).all() else 0
-                if most > 0:
-                    x = x / most
-                    at.append(i)
-                    out.append(x / np.sqrt((x * x).sum()))
-            kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("vec_id"), kept.column("label_key"), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "label_key", "x"])
+                out.append(x / most / np.sqrt(((x / most) ** 2).sum()) if most > 0 else None)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label_key"), pa.array(out, pa.list_(pa.float64()))], ["vec_id", "label_key", "x"])
 
     return rows.mapInArrow(run, "vec_id long, label_key string, x array<double>")
 
 
+def _spanning(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of hit (symmetric) that connect what its entries connect."""
+    left, i, j = np.arange(len(hit)), [], []
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            near = hit[np.ix_(front, left)]
+            met = near.any(0)
+            i.append(front[near.argmax(0)[met]])
+            j.append(left[met])
+            front, left = left[met], left[~met]
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.empty(0, np.int64),) * 2
+
+
 def _matrix(lists) -> np.ndarray:
     """A column of equally long lists as rows."""
     return np.stack([np.asarray(v, np.float64) for v in lists])
@@ -106,8 +120,8 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cos", "new"))
 
 
-def _local_join(lists: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Pairs a, b, cos of vectors that share a neighbour, where at least one of the two entries is new and the pair would enter a list."""
+def _local_join(lists: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """Pairs a, b, cos of vectors that share a neighbour, where at least one of the two entries is new and the pair would enter a list; and pairs that connect what links among them connect."""
     # a bounded number of members from either direction meet at a vector, new ones first; hubs are thinned, since their members meet elsewhere too
     ends = lists.select(F.col("a").alias("at"), F.col("b").alias("node"), "new", "cos").unionByName(lists.select(F.col("b").alias("at"), F.col("a").alias("node"), "new", "cos"))
     ends = ends.repartition("at").groupBy("at", "node").agg(F.max("new").alias("new"), F.max("cos").alias("cos"))
@@ -126,6 +140,9 @@ def _local_join(lists: DataFrame, vectors: DataFrame) -> DataFrame:
                 node, new, bar = (s.field(c).to_numpy(zero_copy_only=False) for c in ("node", "new", "bar"))
                 cos = x @ x.T
                 want = np.triu((new[:, None] | new[None, :]) > 0, 1) & ((cos > bar[:, None]) | (cos > bar[None, :]))
+                if new.any():
+                    i, j = _spanning(cos >= threshold)
+                    want[np.minimum(i, j), np.maximum(i, j)] = True
                 i, j = np.nonzero(want)
                 for o, v in zip(out, (node[i], node[j], cos[i, j]), strict=True):
                     o.append(v)
@@ -135,8 +152,8 @@ def _local_join(lists: DataFrame, vectors: DataFrame) -> DataFrame:
     return met.select("m").mapInArrow(run, "a long, b long, cos double")
 
 
-def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: float, first_table: int = 0) -> DataFrame:
-    """Lists (a, b, cos) by NN-descent; saturated ones are enlarged up to LIST_MOST."""
+def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: float, first_table: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Lists (a, b, cos) by NN-descent, of which saturated ones are enlarged up to LIST_MOST, and links (a, b): all pairs met at the threshold, with repeats."""
     bits = max(4, min(48, math.ceil(math.log2(max(n, 2) / 8))))
     bucket = ["label_key", "dims", "table", "code"]
     # a bucket is dealt into parts, so that a large one isn't one group; members of a part and the firsts of the parts are linked in a row, each with the next three
@@ -151,11 +168,15 @@ def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: flo
         pairs = near.select(F.col("node").alias("a"), "b").where("b is not null")
         start = pairs if start is None else start.unionByName(pairs)
     pairs = scratch.save(start.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    lists = scratch.save(_top(_both(_scored(pairs, vectors).withColumn("new", F.lit(1))), None, LIST), "lists")
+    scored = scratch.save(_scored(pairs, vectors), "scored")
+    links = scored.where(F.col("cos") >= threshold).select("a", "b")
+    lists = scratch.save(_top(_both(scored.withColumn("new", F.lit(1))), None, LIST), "lists")
     k, wanted = LIST, None
     while True:
         for _ in range(ROUNDS):
-            found = _local_join(lists, vectors).withColumn("new", F.lit(1))
+            met = scratch.save(_local_join(lists, vectors, threshold), "met")
+            links = links.unionByName(met.where(F.col("cos") >= threshold).select("a", "b"))
+            found = met.withColumn("new", F.lit(1))
             held = lists.select("a", "b", "cos", F.lit(0).alias("new"))
             after = scratch.save(_top(held.unionByName(_both(found)), wanted, LIST), "lists")
             fresh, total = after.where(F.col("cos") >= threshold).agg(F.coalesce(F.sum("new"), F.lit(0)), F.count(F.lit(1))).first()
@@ -164,18 +185,18 @@ def neighbour_lists(vectors: DataFrame, n: int, scratch: Scratch, threshold: flo
             if fresh <= SETTLED * total:
                 break
         if k >= LIST_MOST:
-            return lists
+            return lists, links
         # saturated lists, and those of the vectors around them
         full = lists.groupBy("a").agg(F.min("cos").alias("bar"), F.count(F.lit(1)).alias("held")).where((F.col("bar") >= threshold) & (F.col("held") >= k))
         k *= 2
         wanted = scratch.save(full.select(F.col("a").alias("node"), F.lit(k).alias("k")), "wanted")
         if wanted.isEmpty():
-            return lists
+            return lists, links
         lists = scratch.save(lists.join(wanted.select(F.col("node").alias("a"), F.lit(1).alias("grow")), "a", "left").select("a", "b", "cos", F.coalesce("grow", F.lit(0)).alias("new"), "r"), "lists")
 
 
-def audit(vectors: DataFrame, edges: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
-    """(found, all) links of a sample of at most rows vectors, compared with all vectors. edges holds each link in both directions."""
+def audit(vectors: DataFrame, edges: DataFrame, members: DataFrame, threshold: float, rows: int = AUDIT_ROWS) -> tuple[int, int]:
+    """(found, all) links of a sample of at most rows vectors, compared with all vectors. edges holds each link in both directions; members (node, component) those of components in which all are compared."""
     sample = vectors.orderBy(F.xxhash64("node")).limit(rows).select("node", "label_key", "x").toArrow()
     if not sample.num_rows:
         return 0, 0
@@ -197,13 +218,17 @@ def audit(vectors: DataFrame, edges: DataFrame, threshold: float, rows: int = AU
 
     true = vectors.select("node", "label_key", "x").mapInArrow(run, "a long, b long")
     seen = true.join(edges.select("a", "b").withColumn("seen", F.lit(1)), ["a", "b"], "left")
-    total, found = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    for c in ("a", "b"):
+        seen = seen.join(members.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    hit = F.col("seen").isNotNull() | F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))
+    total, found = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum(hit.cast("int")), F.lit(0))).first()
     return found, total
 
 
-def _dense_links(members: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """node, links: the exact number of links of each member (component, node, parts) to others of its component, weighed by copies."""
-    rows = members.join(vectors, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+def _dense_links(members: DataFrame, vectors: DataFrame, threshold: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(counts, edges) among members (component, node) of one component, each compared with all: node and its exact number of links, weighed by copies; a, b that connect what links connect."""
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    rows = members.join(small(sizes), "component").join(vectors, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     met = met.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "copies", "x")
 
@@ -211,18 +236,20 @@ def _dense_links(members: DataFrame, vectors: DataFrame, threshold: float) -> Da
         part = table.column("part").to_numpy()
         x = _matrix(table.column("x").to_numpy())
         node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
-        i, j = key[1].as_py(), key[2].as_py()
-        a, b = np.flatnonzero(part == i), np.flatnonzero(part == j)
-        hit = x[a] @ x[b].T >= threshold
-        if i == j:
-            np.fill_diagonal(hit, False)
-            return pa.table({"node": node[a], "links": (hit * copies[b]).sum(1).astype(np.int64)})
-        return pa.table({"node": np.concatenate([node[a], node[b]]), "links": np.concatenate([(hit * copies[b]).sum(1), (hit.T * copies[a]).sum(1)]).astype(np.int64)})
+        hit = x @ x.T >= threshold
+        np.fill_diagonal(hit, False)
+        a, b = _spanning(hit)
+        if key[1].as_py() != key[2].as_py():
+            hit &= part[:, None] != part[None, :]  # pairs within a part are counted by its own task
+        links = pa.array((hit * copies).sum(1).astype(np.int64))
+        none = pa.nulls(len(a), pa.int64())
+        return pa.table({"node": pa.concat_arrays([pa.array(node, pa.int64()), none]), "links": pa.concat_arrays([links, none]), "a": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(node[a], pa.int64())]), "b": pa.concat_arrays([pa.nulls(len(node), pa.int64()), pa.array(node[b], pa.int64())])})
 
-    return met.groupBy("component", "i", "j").applyInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+    out = scratch.save(met.groupBy("component", "i", "j").applyInArrow(run, "node long, links long, a long, b long"), "blocks")
+    return out.where("node is not null").groupBy("node").agg(F.sum("links").alias("links")), out.where("a is not null").select("a", "b")
 
 
-def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, tries: int = TRIES) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of embeddings (vec_id, embedding, label).
 
     Vectors of one label (not null) link if their cosine is at least threshold.
@@ -231,46 +258,57 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, recall: fl
     vectors of different length do not link. Equal vectors are compared once,
     as a class, and counted as often as they occur, so copies never become
     pairs. Repeated rows are vectors of their own that share a vec_id. An empty
-    table gives an empty result.
+    table gives an empty result. If tries starts do not reach recall, all
+    vectors of a label are compared in blocks, which is exact.
     """
     scratch = Scratch(embeddings.sparkSession, "nndescent")
     rows = scratch.save(usable(embeddings), "rows")
     # a class is known by its smallest vec_id
-    classes = rows.groupBy("label_key", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    vectors = scratch.save(classes, "classes")
+    classes = rows.where("x is not null").groupBy("label_key", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    # vectors that share a vec_id are nodes of their own; the first keeps it
+    order = Window.partitionBy("node").orderBy("label_key", "x")
+    classes = classes.withColumn("at", F.row_number().over(order)).withColumn("vec", F.col("node"))
+    vectors = scratch.save(classes.withColumn("node", F.when(F.col("at") == 1, F.col("node")).otherwise(F.xxhash64("node", "label_key", "x"))).drop("at"), "classes")
     n = vectors.count()
-    edges, tried = None, 0
+    edges, tried, seen, total = None, 0, 0, 1
     while True:
-        lists = neighbour_lists(vectors, n, scratch, threshold, tried * TABLES)
-        found = lists.where(F.col("cos") >= threshold).select(F.col("a").alias("p"), F.col("b").alias("q"))
-        found = found.select(F.explode(F.array(F.struct(F.col("p").alias("a"), F.col("q").alias("b")), F.struct(F.col("q").alias("a"), F.col("p").alias("b")))).alias("e")).select("e.*")
-        full = lists.groupBy("a").agg(F.min("cos").alias("bar"), F.count(F.lit(1)).alias("held")).where((F.col("bar") >= threshold) & (F.col("held") >= LIST_MOST)).select("a")
+        if tried == tries:
+            members = scratch.save(vectors.select("node", F.xxhash64("label_key", F.size("x")).alias("component")), "members")
+            break
+        lists, links = neighbour_lists(vectors, n, scratch, threshold, tried * TABLES)
+        links = links.unionByName(lists.where(F.col("cos") >= threshold).select("a", "b"))
+        found = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         edges = scratch.save((found if edges is None else edges.unionByName(found)).distinct(), "edges")
         parts = scratch.save(connected_components(edges, scratch), "components")
-        dense = scratch.save(parts.join(full.withColumnRenamed("a", "node"), "node", "left_semi").select("component").distinct(), "dense")
-        members = parts.join(small(dense), "component")
+        # saturated at any length: there may be more links than the list holds
+        full = lists.groupBy("a").agg(F.min("cos").alias("bar"), F.count(F.lit(1)).alias("held")).where((F.col("bar") >= threshold) & (F.col("held") >= LIST)).select(F.col("a").alias("node"))
+        dense = scratch.save(parts.join(full, "node", "left_semi").select("component").distinct(), "dense")
+        members = scratch.save(parts.join(small(dense), "component").select("node", "component"), "members")
         tried += 1
-        # links within dense components are all compared below, so the audit is about the others
-        others = edges.join(members.select(F.col("node").alias("a")), "a", "left_anti")
-        seen, total = audit(vectors.join(members.select("node"), "node", "left_anti"), others, threshold)
-        if seen >= recall * total or tried == 4:
+        seen, total = audit(vectors, edges, members, threshold)
+        if seen >= recall * total:
             break
-    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    exact = _dense_links(members.join(sizes, "component"), vectors.select("node", "copies", "x"), threshold)
+    exact, more = _dense_links(members, vectors.select("node", "copies", "x"), threshold, scratch)
+    if seen < recall * total:
+        edges = scratch.save(more.unionByName(more.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+        parts = scratch.save(connected_components(edges, scratch), "components")
     weight = vectors.select(F.col("node").alias("b"), "copies")
     counted = edges.join(weight, "b").groupBy("a").agg(F.sum("copies").alias("links")).withColumnRenamed("a", "node")
     exact = scratch.save(exact.withColumnRenamed("links", "exact"), "exact")
+    # a component is named by the smallest vec_id in it
+    named = vectors.select("node", "vec").join(parts, "node").groupBy("component").agg(F.min("vec").alias("name"))
     per = (
-        vectors.select("node", "copies", "label_key", "x")
+        vectors.select("node", "vec", "copies", "label_key", "x")
         .join(counted, "node", "left")
         .join(exact, "node", "left")
         .join(parts, "node", "left")
-        .select("label_key", "x", (F.coalesce("exact", "links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+        .join(named, "component", "left")
+        .select("label_key", "x", (F.coalesce("exact", "links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("name", "vec").alias("component_id"))
     )
-    per = scratch.save(rows.select("vec_id", "label_key", "x").join(per, ["label_key", "x"]).select("vec_id", "n_links", "component_id"), "linked")
-    alone = embeddings.select("vec_id").join(per.select("vec_id"), "vec_id", "left_anti")
-    alone = alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
-    return per.unionByName(alone).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    per = rows.where("x is not null").join(per, ["label_key", "x"]).select("vec_id", "n_links", "component_id")
+    alone = rows.where("x is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = scratch.save(per.unionByName(alone), "linked")
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op4_query(embeddings: DataFrame) -> DataFrame:

@@ -267,6 +267,46 @@ def test_vectors(spark):
     assert found >= 0.95 * hit.sum() and all(got[k][0] <= n for k, n in enumerate(hit.sum(1)))
 
 
+def _vector_truth(rows):
+    """vec position to (number of links, smallest vec_id reachable)."""
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = (x @ x.T >= 0.98) & (np.array([r[2] for r in rows])[:, None] == np.array([r[2] for r in rows])[None, :])
+    np.fill_diagonal(hit, False)
+    groups = brute.Union()
+    for i, j in zip(*np.nonzero(hit), strict=True):
+        groups.join(int(i), int(j))
+    return [(int(hit[i].sum()), rows[groups.find(i)][0]) for i in range(len(rows))]
+
+
+def test_bordering_groups(spark):
+    """Two dense groups, all of whose vectors link across, are one component with all its links."""
+    rng = np.random.default_rng(3)
+    centre, aside = rng.normal(size=32), rng.normal(size=32)
+    centre /= np.linalg.norm(centre)
+    aside -= aside @ centre * centre
+    aside *= np.tan(np.arccos(0.984)) / np.linalg.norm(aside)
+    rows = [(i, (centre + (i % 2) * aside + 0.0004 * rng.normal(size=32)).tolist(), 0) for i in range(300)]
+    rows += [(300 + i, rng.normal(size=32).tolist(), 0) for i in range(400)]
+    truth = _vector_truth(rows)
+    assert truth[0] == (299, 0)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [got[r[0]] for r in rows] == truth
+
+
+def test_exact_way_and_shared_ids(spark):
+    """Without a start all vectors are compared; rows that share a vec_id keep a row each."""
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(3, 12))
+    rows = [(i, (centre[i % 3] + 0.05 * rng.normal(size=12)).tolist(), i % 2) for i in range(90)]
+    df = spark.createDataFrame([*rows, (5, None, 0), (5, rows[4][1], 0)], "vec_id long, embedding array<double>, label int")
+    got = nndescent.near_vectors(df, tries=0).collect()
+    assert len(got) == 92 and sorted((r.n_links, r.component_id) for r in got if r.vec_id == 5)[0] == (0, 5)
+    exact = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_vectors(df.where("vec_id <> 5"), tries=0).collect()}
+    few = [r for r in rows if r[0] != 5]
+    assert [exact[r[0]] for r in few] == _vector_truth(few)
+
+
 def test_toxicity(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     docs, labels = common.load(spark, sf, "documents"), common.load(spark, sf, "labels")
