@@ -1,18 +1,18 @@
-"""SimHash near-duplicates: segment popcounts, a grid join under Manhattan distance, exact Hamming distance.
+"""SimHash near-duplicates: segment popcounts, a grid range-join under Manhattan distance, exact Hamming distance.
 
 A fingerprint of 64 bits is mapped to the bit counts of its 32 two-bit
-segments. One differing bit changes one count by one, so the Manhattan distance
-of two such vectors never exceeds the Hamming distance of the fingerprints. The
-segments are dealt into B blocks; if the Manhattan distance is at most r, at
-least B - r blocks are equal. The grid has a cell for each choice of B - r
-blocks and each value of their counts: all pairs within r meet in some cell,
-and there they are verified with the exact Hamming distance.
+segments, a point of a grid. One differing bit changes one count by one, so the
+Manhattan distance of two points never exceeds the Hamming distance of the
+fingerprints. The axes are dealt into as few parts as leave a distance of two
+at most in one of them. In each part a fingerprint stands in its own cell and
+in those next to it: two points at a distance of two or less meet in a cell
+beside or between them. Pairs that meet are held against the Manhattan distance
+of all axes first and then against the exact Hamming distance.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -64,47 +64,58 @@ def fingerprints(docs: DataFrame, width: int, keep: tuple[str, ...] = ("doc_id",
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, extended(fields, ("fp", "long")))
 
 
-def blocks_for(n: int, radius: int) -> int:
-    """The fewest blocks whose cells (of B - radius blocks) hold some 1.5 bits a segment, two more than n needs."""
-    need = math.log2(max(n, 2)) + 2
-    return next(b for b in range(radius + 2, _SEGMENTS + 1) if 1.5 * _SEGMENTS * (b - radius) / b >= need or b == 2 * radius + 2)
-
-
 def segment_counts(fp: Column) -> Column:
-    """Bit counts of the 32 two-bit segments, packed two bits each."""
+    """Bit counts of the 32 two-bit segments in two bits each: none, the lower or both set for 0, 1 and 2, so that the bits in which two of them differ are their Manhattan distance."""
     high = F.shiftrightunsigned(fp, 1)
-    one, two = fp.bitwiseXOR(high).bitwiseAND(F.lit(_EVEN)), fp.bitwiseAND(high).bitwiseAND(F.lit(_EVEN))
-    return one.bitwiseOR(F.shiftleft(two, 1))
+    some, both = fp.bitwiseOR(high).bitwiseAND(F.lit(_EVEN)), fp.bitwiseAND(high).bitwiseAND(F.lit(_EVEN))
+    return some.bitwiseOR(F.shiftleft(both, 1))
+
+
+def parts_for(radius: int) -> int:
+    """The fewest parts of the axes of which one has a distance of two at most."""
+    return radius // 3 + 1
+
 
+def _signed(x: int) -> int:
+    return x - (x >> 63 << 64)
 
-def _cells(fp: str, blocks: int, radius: int) -> Column:
-    """An array of (choice, value): the cells of a fingerprint."""
-    masks = []
-    for b in range(blocks):
-        lo, hi = _SEGMENTS * b // blocks, _SEGMENTS * (b + 1) // blocks
-        masks.append(sum(3 << (2 * s) for s in range(lo, hi)))
-    keys = []
-    for i, choice in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(masks[b] for b in choice)
-        mask -= (mask >> 63) << 64
-        keys.append(F.struct(F.lit(i).cast("short").alias("choice"), F.col("counts").bitwiseAND(F.lit(mask)).alias("value")))
-    return F.array(*keys)
+
+def _cells(counts: Column, radius: int) -> Column:
+    """An array of (part, cell): in each part of the axes the cell of a point, and the cells at a distance of one."""
+    n, keys = parts_for(radius), []
+    for part in range(n):
+        axes = range(_SEGMENTS * part // n, _SEGMENTS * (part + 1) // n)
+        mask = F.lit(_signed(sum(3 << (2 * s) for s in axes)))
+        cell = lambda c, part=part, mask=mask: F.struct(F.lit(part).cast("short").alias("part"), c.bitwiseAND(mask).alias("cell"))
+        keys.append(cell(counts))
+        for s in axes:
+            low, high = F.lit(_signed(1 << (2 * s))), F.lit(_signed(2 << (2 * s)))
+            # 0 and 1 differ in the lower bit, 1 and 2 in the upper one
+            keys.append(F.when(counts.bitwiseAND(high) == 0, cell(counts.bitwiseXOR(low))))
+            keys.append(F.when(counts.bitwiseAND(low) != 0, cell(counts.bitwiseXOR(high))))
+    return F.array_compact(F.array(*keys))
+
+
+def _counts(fps: np.ndarray) -> np.ndarray:
+    """segment_counts of unsigned fingerprints."""
+    even, one = np.uint64(_EVEN), np.uint64(1)
+    return ((fps | fps >> one) & even) | ((fps & fps >> one) & even) << one
 
 
 def _spanning(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges that connect what links within radius connect; the exact distance is taken of every pair that needs it."""
+    """Edges that connect what links within radius connect. Pairs beyond it by Manhattan distance are left out; the exact distance decides on the others."""
     left, edges = np.unique(fps.view(np.uint64)), []
+    at = _counts(left)
     while len(left) > 1:
-        front, left = left[:1], left[1:]
+        front, left, front_at, at = left[:1], left[1:], at[:1], at[1:]
         while len(front) and len(left):
-            near = np.zeros(len(left), bool)
-            parent = np.zeros(len(left), np.uint64)
-            for f in front:
-                hit = ~near & (np.bitwise_count(left ^ f) <= radius)
-                near |= hit
-                parent[hit] = f
+            parent, near = np.zeros(len(left), np.uint64), np.zeros(len(left), bool)
+            for f, c in zip(front, front_at, strict=True):
+                close = np.flatnonzero(~near & (np.bitwise_count(at ^ c) <= radius))
+                hit = close[np.bitwise_count(left[close] ^ f) <= radius]
+                near[hit], parent[hit] = True, f
             edges += zip(parent[near].view(np.int64).tolist(), left[near].view(np.int64).tolist(), strict=True)
-            front, left = left[near], left[~near]
+            front, left, front_at, at = left[near], left[~near], at[near], at[~near]
     return edges
 
 
@@ -116,19 +127,22 @@ def links(distinct: DataFrame, radius: int, scratch: Scratch, cell_rows: int = C
     compared, and no task holds more than two blocks.
     """
     n = distinct.count()
-    cells = distinct.select("fp", segment_counts(F.col("fp")).alias("counts"))
-    cells = cells.select("fp", F.explode(_cells("fp", blocks_for(n, radius), radius)).alias("c")).select("fp", "c.*")
+    # each row becomes some fifty, so few small partitions would be few large tasks
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 100_000))
+    cells = distinct.select("fp").repartition(tasks, "fp").withColumn("counts", segment_counts(F.col("fp")))
+    cells = cells.select("fp", F.explode(_cells(F.col("counts"), radius)).alias("c")).select("fp", "c.*")
     large = scratch.save(
-        cells.groupBy("choice", "value").count().where(F.col("count") > cell_rows).withColumn("parts", F.ceil(F.col("count") / cell_rows).cast("int")), "large"
+        cells.groupBy("part", "cell").count().where(F.col("count") > cell_rows).withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")), "large"
     )
-    dealt = cells.join(small(large.select("choice", "value", "parts")), ["choice", "value"], "left")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    dealt = dealt.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(part))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    dealt = cells.join(small(large.select("part", "cell", "blocks")), ["part", "cell"], "left")
+    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.lit(0)))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
+    a, b = F.col("fps")[0], F.col("fps")[1]
+    close = (F.bit_count(segment_counts(a).bitwiseXOR(segment_counts(b))) <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
     groups = (
-        dealt.groupBy("choice", "value", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        dealt.groupBy("part", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
         .agg(F.collect_list("fp").alias("fps"))
-        .where((F.size("fps") > 2) | ((F.size("fps") == 2) & (F.bit_count(F.col("fps")[0].bitwiseXOR(F.col("fps")[1])) <= radius)))
+        .where((F.size("fps") > 2) | ((F.size("fps") == 2) & close))
         .select("fps")
     )
 
@@ -140,8 +154,13 @@ def links(distinct: DataFrame, radius: int, scratch: Scratch, cell_rows: int = C
     return groups.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """doc_id, fp, component_id for each row of docs (doc_id, text; other columns are ignored).
+def text_key(text: Column) -> Column:
+    """A hash that tells texts that share a doc_id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, cell_rows: int = CELL_ROWS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id, fp, component_id for each row of docs (doc_id, text; other columns are ignored), and text_key if keep has it.
 
     Documents link if their fingerprints differ in at most radius bits;
     component_id is the smallest doc_id of all documents that links reach. Null
@@ -151,27 +170,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4, cell_rows:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
-    marked = scratch.save(fingerprints(docs, width), "fingerprints")
+    rows = docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+    marked = scratch.save(fingerprints(rows, width, keep), "fingerprints")
     distinct = scratch.save(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     edges = scratch.save(links(distinct, radius, scratch, cell_rows), "links")
     found = connected_components(edges, scratch)
     of_fp = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = of_fp.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = of_fp.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(by_fp, "fp").select(*keep, "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """docs without all but one document of each group: the one with the smallest doc_id stays, whole and unchanged.
 
-    Rows that repeat a doc_id are one document and give one row. Rows without
-    doc_id stay.
+    Rows equal in doc_id and text are one document and give one row, the least
+    in order of the other columns as text. Of rows that share a doc_id, the one
+    with the smallest hash of its text stands for the group. Rows without doc_id stay.
     """
-    found = near_duplicates(docs, width, radius)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    found = near_duplicates(docs, width, radius, keep=("doc_id", "text_key"))
+    named = found.where("doc_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    kept = named.select(F.col("first.doc_id").alias("__id"), F.col("first.text_key").alias("__key"))
+    # what stays is most of the table, so what goes is joined
+    gone = found.where("doc_id is not null").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"))
+    gone = gone.join(kept, ["__id", "__key"], "left_anti").distinct()
     gone = Scratch(docs.sparkSession, "simhash").save(gone, "gone")
-    kept = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    same = (docs["doc_id"] == F.col("__id")) & (text_key(docs["text"]) == F.col("__key"))
+    return _once(docs.join(small(gone), same, "left_anti").select(*docs.columns))
+
+
+def _once(docs: DataFrame) -> DataFrame:
+    """docs with one row for each (doc_id, text) that repeats; rows without doc_id stay."""
+    key = text_key(docs["text"])
+    times = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), key.alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id", "__key")
+    times = Scratch(docs.sparkSession, "simhash").save(times, "repeated")
+    if times.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (key == F.col("__key"))
+    again = docs.join(small(times), same)
+    others = F.to_json(F.struct(*[docs[c] for c in docs.columns]))
+    one = again.groupBy("__id", "__key").agg(F.min_by(F.struct(*[docs[c] for c in docs.columns]), others).alias("r")).select("r.*")
+    return docs.join(small(times), same, "left_anti").unionByName(one)
 
 
 def op6_query(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,36 @@ def test_large_cells(spark):
     assert {f: groups.find(f) for f in signed} == {f: exp.find(f) for f in signed}
 
 
+def test_manhattan_bound(spark):
+    """The Manhattan distance of segment counts never exceeds the Hamming distance, leaves out most pairs that meet, and pairs within reach meet in a cell."""
+    rnd = random.Random(5)
+    fps = [rnd.getrandbits(64) for _ in range(60)]
+    fps += [f ^ sum(1 << x for x in rnd.sample(range(64), k % 7)) for k, f in enumerate(fps * 3)]
+    rows = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long").withColumn("counts", simhash.segment_counts(F.col("fp")))
+    counts = [sum((f >> 2 * s & 3).bit_count() << 2 * s for s in range(32)) for f in fps]
+    for radius in (2, 4, 6, 8):
+        got = [(r.counts & (2**64 - 1), {(k.part, k.cell) for k in r.k}) for r in rows.select("counts", simhash._cells(F.col("counts"), radius).alias("k")).collect()]
+        met = far = 0
+        for i, a in enumerate(fps):
+            for j in range(i):
+                manhattan = sum(abs((counts[i] >> 2 * s & 3) - (counts[j] >> 2 * s & 3)) for s in range(32))
+                hamming = (a ^ fps[j]).bit_count()
+                assert manhattan == (got[i][0] ^ got[j][0]).bit_count() <= hamming
+                both = bool(got[i][1] & got[j][1])
+                assert both or manhattan > radius
+                met, far = met + both, far + (both and manhattan > radius)
+        assert met and (radius != 8 or far)
+
+
+def test_repeated_documents(spark):
+    """Rows equal in doc_id and text give one; a text that shares its doc_id with a copy of another is judged by itself."""
+    other = "quite another text of which no copy is here at all"
+    rows = [(1, "one two three four five six seven", "a"), (7, "one two three four five six seven", "b"), (7, other, "c"), (7, other, "d"), (8, "the last text is alone", "e"), (None, other, "f"), (None, other, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = sorted(map(tuple, simhash.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[2], rows[4], rows[5], rows[6]], key=str)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rnd.randint(200, 260), rnd.randint(200, 260)) for _ in range(50)] + [(5, 5)]
