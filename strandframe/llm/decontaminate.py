@@ -1,13 +1,14 @@
-"""Benchmark decontamination: item-sized windows that hold enough shingles of the benchmark, exact weighted-shingle similarity.
+"""Benchmark decontamination: SimHashes of item-sized windows, multi-index Hamming blocks, exact weighted-shingle similarity.
 
 An item of n words is looked for in windows of n words. Similarity s of
 shingles a and b in number means that at least s (a + b) / (1 + s) of them are
-shared, so a window counts only if as many of its shingles are in items of
-that size; where they lie gives the windows without trying each. Of its
-shingles at most the rest can be missing from a similar item, so one of the
-first rest + 1 leads to it. Neither step loses a similar window; the weighted
-Jaccard similarity of the shingles (each weighs as often as it occurs) then
-decides. All of it is DataFrame functions.
+shared, so windows are laid only where as many shingles are in items of that
+size: this leaves out no similar window. The SimHash of each is cut into
+RADIUS + 1 blocks, and one of them at least is equal in every item's SimHash
+within RADIUS bits: the join on blocks finds all of these. The weighted Jaccard
+similarity of the shingles (each weighs as often as it occurs) decides. RADIUS
+is so wide that windows at the similarity lie within it: their distance is
+some 9 bits with a deviation under 3. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -15,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import extended, small, word_array
+from strandframe.llm.common import extended, simhash, small, word_array
 from strandframe.scratch import Scratch
 
 WIDTH = 5
 SIMILARITY = 0.8
+#: Bits in which the SimHashes of a window and an item differ at most.
+RADIUS = 24
 
 
 def _words(text: Column) -> Column:
@@ -49,6 +52,17 @@ def weighted_similarity(a: Column, b: Column) -> Column:
     return shared / (F.size(a) + F.size(b) - shared)
 
 
+def with_fingerprint(df: DataFrame, shingles: str, name: str) -> DataFrame:
+    """df with the SimHash of an array of shingles, each counting as often as it occurs; the hashes are a column of their own, so that they are taken once."""
+    return df.withColumn("__h", F.transform(shingles, lambda x: F.xxhash64(x))).withColumn(name, simhash(F.col("__h"), F.size("__h"))).drop("__h")
+
+
+def blocks(fp: Column, radius: int = RADIUS) -> Column:
+    """An array of (block, bits): radius + 1 blocks of a SimHash, of which one at least is the same within radius bits."""
+    cut = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return F.array(*[F.struct(F.lit(i).cast("short").alias("block"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False))])
+
+
 def _needed(a: Column, b: Column, similarity: float) -> Column:
     """The fewest shared of a and b shingles that give the similarity."""
     return F.greatest(F.ceil((a + b) * (similarity / (1 + similarity)) - 1e-6).cast("int"), F.lit(1))
@@ -98,19 +112,28 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, similari
     places = places.select("doc_id", "text_key", "n", "width", "need", starts.alias("starts")).where(F.size("starts") > 0)
     places = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("n", "width", "need", "starts")).alias("sizes"))
     places = scratch.save(places, "places")
-    chosen = places.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "sizes")
-    there = text.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key"))).dropDuplicates(["doc_id", "text_key"])
-
-    sized = there.select("doc_id", "text_key", "words", F.explode("sizes").alias("s")).select("doc_id", "text_key", "words", "s.n", "s.width", "s.need", "s.starts")
-    laid = sized.select("doc_id", "text_key", "n", "width", "need", "words", F.explode("starts").alias("start_word"))
-    windows = laid.select("doc_id", "text_key", "n", "width", "need", "start_word", F.slice("words", F.col("start_word") + 1, F.col("n")).alias("window"))
-    windows = windows.select("doc_id", "text_key", "n", "need", "start_word", F.size("window").alias("n_words"), _shingles(F.col("window"), F.col("width")).alias("shingles"))
+    chosen = places.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"))
+    there = text.join(small(chosen), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")), "left_semi").dropDuplicates(["doc_id", "text_key"])
+    found = places.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "sizes")
+    there = there.join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+
+    sized = there.select("doc_id", "text_key", "words", F.explode("sizes").alias("s")).select("doc_id", "text_key", "words", "s.n", "s.width", "s.starts")
+    laid = sized.select("doc_id", "text_key", "n", "width", "words", F.explode("starts").alias("start_word"))
+    windows = laid.select("doc_id", "text_key", "n", "width", "start_word", F.slice("words", F.col("start_word") + 1, F.col("n")).alias("window"))
+    windows = windows.select("doc_id", "text_key", "n", "start_word", F.size("window").alias("n_words"), _shingles(F.col("window"), F.col("width")).alias("shingles"))
     windows = scratch.save(windows, "windows")
-    first = F.slice("shingles", F.lit(1), F.size("shingles") - F.col("need") + 1)
-    keyed = windows.select("doc_id", "text_key", "n", "start_word", "n_words", "shingles", F.explode(F.array_distinct(first)).alias("shingle"))
-    item = bench.withColumn("item_shingles", _shingles(F.col("item_words"), F.col("width")))
-    index = item.select("item_id", "item_key", "item_shingles", "n", F.explode(F.array_distinct("item_shingles")).alias("shingle"))
-    near = keyed.join(small(index), ["n", "shingle"])
+    item = scratch.save(bench.select("item_id", "item_key", "n", _shingles(F.col("item_words"), F.col("width")).alias("item_shingles")), "item")
+    index = with_fingerprint(item, "item_shingles", "item_fp").select("item_id", "item_key", "n", "item_fp")
+    index = index.select("*", F.explode(blocks(F.col("item_fp"))).alias("k")).select("item_id", "item_key", "n", "item_fp", "k.*")
+    at = ["doc_id", "text_key", "n", "start_word"]
+    keyed = with_fingerprint(windows, "shingles", "fp").select(*at, "fp", F.explode(blocks(F.col("fp"))).alias("k")).select(*at, "fp", "k.*")
+    near = keyed.join(small(index), ["n", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    near = near.groupBy(*at, "item_key").agg(F.collect_set("item_id").alias("ids"), F.max(F.col("item_id").isNull().cast("int")).alias("no_id"))
+    near = scratch.save(near.withColumn("doc", F.struct("doc_id")).drop("doc_id"), "near")
+    held = windows.withColumn("doc", F.struct("doc_id")).join(near, ["doc", "text_key", "n", "start_word"])
+    held = held.join(item.select("item_key", "item_shingles").dropDuplicates(["item_key"]), "item_key")
+    ids = F.when(F.col("no_id") == 1, F.concat("ids", F.array(F.lit(None).cast(items.schema["item_id"].dataType)))).otherwise(F.col("ids"))
+    near = held.select("doc_id", "text_key", "start_word", "n", "n_words", "item_key", "shingles", "item_shingles", F.explode(ids).alias("item_id"))
     # the shingles are columns behind a shuffle, so that no lambda of the similarity builds them again
     near = near.groupBy("doc_id", "text_key", "start_word", "n", "item_id", "item_key").agg(
         F.first("shingles").alias("shingles"), F.first("item_shingles").alias("item_shingles"), F.first("n_words").alias("n_words")
