@@ -33,6 +33,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """A hash of doc_id, source and text; which of them are null counts too, as the hash skips nulls."""
+    cols = [docs["doc_id"], docs["source"], docs["text"].cast("string")]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = MOST) -> DataFrame:
     """source, source_size, n_docs, target from sizes (source, source_size, n_docs): a row for each source.
 
@@ -125,8 +131,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     and are taken equally often. Reruns agree. No rows give none.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    text = F.col("text").cast("string")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", text).alias("id"))
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row_key(docs).alias("id"))
     sized = scratch.save(sized, "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     goals = scratch.save(targets(sums, weights, share, most), "targets")
@@ -147,8 +152,7 @@ def take_mix(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as often as its copies say, whole; rows with none are left out."""
     drawn = mix(docs, **options).select(F.col("row_key").alias("__key"), F.col("copies").alias("__copies")).dropDuplicates(["__key"])
     drawn = Scratch(docs.sparkSession, "mixing").save(drawn.where("__copies > 0"), "copies")
-    key = F.xxhash64(docs["doc_id"], docs["source"], docs["text"].cast("string"))
-    taken = docs.join(small(drawn), key == F.col("__key"))
+    taken = docs.join(small(drawn), row_key(docs) == F.col("__key"))
     return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
 
 

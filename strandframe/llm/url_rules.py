@@ -20,6 +20,8 @@ from strandframe.scratch import Scratch
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: A combination is in so large a share of the labelled URLs at least, and so large a share of those with it is blocked.
 SUPPORT, CONFIDENCE = 0.01, 0.8
+#: Labelled URLs that hold a combination, at least; fewer say nothing.
+LEAST = 20
 _BLOCKED = "\u0000blocked"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -62,18 +64,32 @@ def tokens(host_: Column, path_: Column, url: Column) -> Column:
     return F.coalesce(F.array_distinct(all_), F.array().cast("array<string>"))
 
 
-def mine(baskets: DataFrame, scratch: Scratch, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def token_classes(baskets: DataFrame, least: int = LEAST) -> DataFrame:
+    """token, stands_for of the tokens that at least `least` baskets (id, tokens) hold: tokens of just the same baskets are one, the least of them.
+
+    Where one of these is in a rule, each other would make a rule as good, so a
+    URL with any of them meets it; and the many tokens of one long URL, which
+    come together always, make one item and not all its combinations.
+    """
+    each = baskets.select("id", F.explode("tokens").alias("token"))
+    where = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    held = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), *where).where(F.col("n") >= least)
+    first = held.groupBy("n", "x0", "x1").agg(F.min("token").alias("stands_for"))
+    return held.join(first, ["n", "x0", "x1"]).select("token", "stands_for")
+
+
+def mine(baskets: DataFrame, scratch: Scratch, support: float = SUPPORT, confidence: float = CONFIDENCE, least: int = LEAST) -> DataFrame:
     """rule_id, tokens, anchor, support, confidence from baskets (tokens, blocked).
 
-    Support is the share of all baskets, confidence the share of blocked ones
-    among those with the tokens. anchor is the rarest token. The rules are as
+    Support is the share of all baskets (at least `least` of them), confidence
+    the share of blocked ones among those with the tokens. anchor is the rarest token. The rules are as
     many as combinations pass support, however many baskets there are.
     """
     items = F.when(F.col("blocked"), F.concat("tokens", F.array(F.lit(_BLOCKED)))).otherwise(F.col("tokens"))
     # equal baskets are rare enough to be left as they are; the order of tokens is set by their frequency in FP-growth
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets.select(items.alias("items")))
-    frequent = scratch.save(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     total = baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(support, least / max(total, 1))), minConfidence=confidence).fit(baskets.select(items.alias("items")))
+    frequent = scratch.save(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "itemsets")
     plain = frequent.where(~F.array_contains("items", _BLOCKED)).select(F.col("items").alias("tokens"), F.col("freq").alias("n"))
     bad = frequent.where(F.array_contains("items", _BLOCKED) & (F.size("items") > 1))
     bad = bad.select(F.array_remove("items", _BLOCKED).alias("tokens"), F.col("freq").alias("n_blocked"))
@@ -104,16 +120,20 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str], ...
     cut = pages.select("page_id", url.alias("url")).withColumn("host", host(F.col("url"))).withColumn("path", path(F.col("url")))
     cut = cut.withColumn("tokens", tokens(F.col("host"), F.col("path"), F.col("url")))
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg((F.min("quality") == 0).alias("blocked"))
-    baskets = scratch.save(cut.join(small(known), cut["page_id"] == known["doc_id"]).select("tokens", "blocked"), "baskets")
+    baskets = cut.join(small(known), cut["page_id"] == known["doc_id"]).select(F.monotonically_increasing_id().alias("id"), "tokens", "blocked")
+    baskets = scratch.save(baskets, "baskets")
     ruled = cut.withColumn("curated", longest_rule(F.col("host"), F.col("path"), rules))
     if baskets.isEmpty():
         return ruled.select("page_id", "host", "path", "curated.rule", F.coalesce("curated.verdict", F.lit("allow")).alias("verdict"))
-    mined = scratch.save(mine(baskets, scratch, support, confidence), "rules")
+    classes = scratch.save(token_classes(baskets), "classes")
+    of = lambda df, key: df.select(*key, F.explode("tokens").alias("token")).join(small(classes), "token").groupBy(*key).agg(F.collect_set("stands_for").alias("items"))
+    bare = baskets.select("id", "blocked").join(of(baskets, ["id"]), "id", "left").select(F.coalesce("items", F.array().cast("array<string>")).alias("tokens"), "blocked")
+    mined = scratch.save(mine(bare, scratch, support, confidence), "rules")
     index = mined.select("rule_id", F.col("tokens").alias("needs"), "anchor")
     # what the mined rules say of a URL depends on its tokens alone, so each set of tokens is matched once
-    sets = ruled.where("curated is null").select("tokens").distinct()
-    matched = sets.select("tokens", F.explode("tokens").alias("anchor")).join(small(index), "anchor").where(F.size(F.array_except("needs", "tokens")) == 0)
-    blocked = scratch.save(matched.groupBy("tokens").agg(F.min("rule_id").alias("mined_rule")), "matched")
+    sets = of(ruled.where("curated is null").select("tokens").distinct().select("tokens", F.col("tokens").alias("set")), ["set"])
+    matched = sets.select("set", "items", F.explode("items").alias("anchor")).join(small(index), "anchor").where(F.size(F.array_except("needs", "items")) == 0)
+    blocked = scratch.save(matched.groupBy(F.col("set").alias("tokens")).agg(F.min("rule_id").alias("mined_rule")), "matched")
     out = ruled.join(small(blocked), "tokens", "left")
     verdict = F.when(F.col("curated").isNotNull(), F.col("curated.verdict")).when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "curated.rule", verdict.alias("verdict"))

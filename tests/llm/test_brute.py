@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandframe.llm import common, decontaminate, lines, mixing, nndescent, quality, simhash, tokens, toxicity, url_rules
+from strandframe.llm import common, decontaminate, lines, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity, url_rules
 from strandframe.scratch import Scratch
 from tests.llm import brute
 
@@ -267,6 +267,12 @@ def test_mined_rules(spark):
     p, q = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
     got = {r.page_id: r.verdict for r in url_rules.op3_query(p, q).collect()}
     assert got == {i: "block" if i % 5 == 0 else "allow" for i in range(600)}
+    long = "http://long.example.com/" + "/".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80))
+    more = p.unionByName(spark.createDataFrame([(1000 + i, long) for i in range(40)], "page_id long, url string"))
+    found = url_rules.op3_query(more, q.unionByName(spark.createDataFrame([(1000 + i, 0) for i in range(30)], "doc_id long, quality int"))).collect()
+    assert {r.page_id: r.verdict for r in found} == got | {1000 + i: "block" for i in range(40)}
+    few = url_rules.op3_query(p, q.where("doc_id < 60")).where("verdict = 'block'")
+    assert few.isEmpty()  # twelve blocked URLs are too few
     cut = p.join(q, p.page_id == q.doc_id).select(url_rules.tokens(url_rules.host(F.col("url")), url_rules.path(F.col("url")), F.col("url")).alias("tokens"), (F.col("quality") == 0).alias("blocked"))
     baskets = [(set(r.tokens), r.blocked) for r in cut.collect()]
     rules = url_rules.mine(cut, Scratch(spark, "t")).collect()
@@ -348,6 +354,76 @@ def test_toxicity(spark):
     assert right >= 0.85 and sum(clean) <= 0.05 * len(clean)
 
 
+def test_scores(spark):
+    """Scores are the noisy-or of the sentences, as a plain version has it."""
+    model = toxicity.Model(0.02, -1.0, {zlib.crc32(w) % toxicity.BUCKETS: x for w, x in ((b"bad", 3.0), (b"worse", 4.0), (b"terribl-", 0.7), (b"fine", -2.0))})
+    texts = ["Bad day. All is fine\nworse, BAD!", "terribly terrible", "", None, "nothing here. at all", "bad " * 5000, "fine? bad"]
+    got = toxicity.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        clear, scores = 1 - model.leak, []
+        for sentence in "".join("." if c in ".!?\n" else c if c.isalnum() else " " for c in (r.text or "").lower()).split("."):
+            words = sentence.split()
+            if words:
+                hits = [model.weights[k] for w in words for k in [zlib.crc32(x.encode()) % toxicity.BUCKETS for x in ([w, w[:7] + "-"] if len(w) > 7 else [w])] if k in model.weights]
+                scores.append(1 / (1 + np.exp(-np.clip(model.bias + sum(hits), -30, 30))) if hits else 0.0)
+                clear *= 1 - scores[-1]
+        assert abs(r.score - (1 - clear)) < 1e-12
+        assert r.worst_sentence == (scores.index(max(scores)) if scores and max(scores) else None)
+
+
+def test_context_limits(spark, docs, texts):
+    """The histogram and its suffix sums answer every limit and share as the lengths themselves do."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.default_tokenizer())
+    lengths = sorted(len(t.encode(x or "", add_special_tokens=False).ids) for x in texts.values())
+    sums = token_counts.op1_query(docs).cache()
+    for r in sums.collect():
+        over = [n for n in lengths if n >= r.n_tokens]
+        assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.docs_total, r.tokens_total) == (lengths.count(r.n_tokens), len(over), sum(over), len(lengths), sum(lengths))
+        assert r.truncated_total == sum(min(n, r.n_tokens) for n in lengths) and abs(r["quantile"] - sum(n <= r.n_tokens for n in lengths) / len(lengths)) < 1e-12
+    limits = [0, 1, 17, 128, 2048, lengths[5], lengths[-1], lengths[-1] + 1]
+    got = {r.context_limit: (r.docs_fit, r.tokens_fit, r.truncated_total) for r in token_counts.at_limits(sums, limits).collect()}
+    assert got == {c: (sum(n <= c for n in lengths), sum(n for n in lengths if n <= c), sum(min(n, c) for n in lengths)) for c in limits}
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {r.share: r.n_tokens for r in token_counts.length_at(sums, shares).collect()}
+    assert got == {s: min(n for n in lengths if sum(m <= n for m in lengths) >= s * len(lengths) - 1e-9) for s in shares}
+
+
+def test_pieces():
+    """Hostile texts have the ids of whole texts, in batches of any size; an unknown kind of tokenizer encodes whole texts."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    rnd, path = random.Random(2), tokens.default_tokenizer()
+    parts = [" ", "  ", "\n", " \n", "a", "bc", "The", "don't", "'s", "1", "23", ".", "!", "...", "é", "\u00a0", "\u3000", "\t", "😀", "<|endoftext|>", " word", "word.", "\0", "\x1c", "\r\n", "你好", "Ж", " ñandú", " straße."]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(3000)] + [None, ""]
+    exp = [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    encoder, array = tokens.PieceEncoder(path, pieces=500), pa.array(texts)
+    for most in (1 << 20, 300):
+        got = [encoder.encode(array.slice(a, n)) for a, n in tokens.bounded(array, most)]
+        assert np.concatenate([g[0] for g in got]).tolist() == [x for ids in exp for x in ids] and np.concatenate([g[1] for g in got]).tolist() == [len(ids) for ids in exp]
+    other = Tokenizer(models.WordLevel({"a b": 1, "?": 0}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Split("|", "removed")
+    encoder.tokenizer, encoder.by_pieces = other, tokens.splits_at_spaces({"pre_tokenizer": {"type": "Split"}})
+    assert not encoder.by_pieces and encoder.encode(pa.array(["a b|c", None]))[0].tolist() == [1, 0]
+
+
+def test_keys_of_rows(spark):
+    """Rows whose nulls stand in other columns are documents of their own."""
+    df = spark.createDataFrame([(1, None, "a"), (1, "a", None)], "doc_id long, source string, text string")
+    assert df.select(mixing.row_key(df)).distinct().count() == 2
+
+
+def test_columns_of_a_stage(spark):
+    """A column of the table's own that is called score comes out as it was."""
+    docs = spark.createDataFrame([(i, "you idiot" if i % 3 == 0 else "all is well", 0.25 + i) for i in range(60)], "doc_id long, text string, score double")
+    sf = Scratch(spark, "t").path("sf")
+    docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 3 == 0).cast("int").alias("toxic")).write.parquet(f"{sf}/labels.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, sf).collect()
+    assert {r.doc_id: r.score for r in kept} == {i: 0.25 + i for i in range(60) if i % 3}
+
+
 def test_offending_sentences(spark):
     """Labels of documents alone tell which sentence is to blame."""
     rnd = random.Random(6)
