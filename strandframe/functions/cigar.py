@@ -1,10 +1,14 @@
 """Cigar algebra as Column functions over array<struct<op string, len bigint>>.
 
 All of it is row-local, so no shuffle follows from it. Offsets are half-open.
+Offsets of operations are summed over whole Arrow batches; the rest is native.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,18 +72,40 @@ def flip(cigar: Column) -> Column:
     return F.reverse(cigar)
 
 
-def placed(cigar: Column) -> Column:
-    """Each operation with the query and target bases before and after it."""
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("q"), zero.alias("t"), F.array().cast(PLACED_TYPE).alias("out"))
+def _row_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums of values within rows of the given sizes."""
+    sums = np.cumsum(values)
+    before = np.concatenate([[0], sums])[np.cumsum(sizes) - sizes]
+    return sums - np.repeat(before, sizes)
 
-    def step(s: Column, c: Column) -> Column:
-        q = s["q"] + F.when(in_query(c["op"]), c["len"]).otherwise(0)
-        t = s["t"] + F.when(in_target(c["op"]), c["len"]).otherwise(0)
-        one = F.struct(c["op"].alias("op"), c["len"].alias("len"), s["q"].alias("q0"), q.alias("q1"), s["t"].alias("t0"), t.alias("t1"))
-        return F.struct(q.alias("q"), t.alias("t"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(cigar, start, step, lambda s: s["out"])
+def as_lists(values: pa.Array, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Rows of the given sizes; null marks rows without a value."""
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array(null))
+
+
+def list_sizes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The size of each row's list, and whether the row is null."""
+    return pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def placed(cigar: Column) -> Column:
+    """Each operation with the query and target bases before and after it: running sums over all rows of an Arrow batch, linear in their operations."""
+
+    @F.arrow_udf(PLACED_TYPE)
+    def place(column: pa.Array) -> pa.Array:
+        sizes, null = list_sizes(column)
+        flat = column.flatten()
+        op, n = pc.struct_field(flat, "op"), pc.struct_field(flat, "len").to_numpy(zero_copy_only=False).astype(np.int64)
+        out = [op, pa.array(n)]
+        for kinds in ("MIS=X", "MDN=X"):  # those on the query, those on the target
+            own = np.where(pc.is_in(op, pa.array(list(kinds))).to_numpy(zero_copy_only=False), n, 0)
+            after = _row_sums(own, sizes)
+            out += [pa.array(after - own), pa.array(after)]
+        return as_lists(pa.StructArray.from_arrays(out, ["op", "len", "q0", "q1", "t0", "t1"]), sizes, null)
+
+    return place(cigar)
 
 
 def cut_query(placed_: Column, start: Column, end: Column) -> Column:

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import cigar
 from strandframe.operators import intervals
+from strandframe.scratch import Scratch
+
+#: What tells the blocks of a target apart, whichever row they are from.
+BLOCK = ("target_name", "start", "end", "query_name", "query_len", "query_pos", "is_reverse")
 
 
 def target_blocks(paf: DataFrame, row: str) -> DataFrame:
@@ -27,11 +31,15 @@ def pieces_of(blocks: DataFrame) -> DataFrame:
     return cut.withColumn("piece_query", F.col("query_pos") + before)
 
 
+def stable_of(pieces: DataFrame) -> DataFrame:
+    """target_name, piece_start, piece_end and the query that stands for the piece: the first by name, then position. A minimum, so it is taken before the shuffle too."""
+    first = pieces.groupBy("target_name", "piece_start").agg(F.min(F.struct("query_name", "piece_query", "is_reverse", "piece_end", "query_len")).alias("f"))
+    return first.select("target_name", "piece_start", "f.piece_end", F.col("f.query_name").alias("s_name"), F.col("f.query_len").alias("s_len"), F.col("f.piece_query").alias("s_pos"), F.col("f.is_reverse").alias("s_reverse"))
+
+
 def stable_mapping(blocks: DataFrame) -> DataFrame:
-    """target_name, piece_start, piece_end and the query that stands for the piece: the first by name, then position."""
-    slim = blocks.select("target_name", "start", "end", "query_name", "query_len", "query_pos", "is_reverse").distinct()
-    first = intervals.first_of_equal(pieces_of(slim), ["target_name"], ["query_name", "piece_query", "is_reverse"])
-    return first.select("target_name", "piece_start", "piece_end", F.col("query_name").alias("s_name"), F.col("query_len").alias("s_len"), F.col("piece_query").alias("s_pos"), F.col("is_reverse").alias("s_reverse"))
+    """stable_of the pieces of blocks."""
+    return stable_of(pieces_of(blocks.drop(*[c for c in blocks.columns if c not in BLOCK]).distinct()))
 
 
 def compose(paf: DataFrame, row: str) -> DataFrame:
@@ -42,8 +50,9 @@ def compose(paf: DataFrame, row: str) -> DataFrame:
     bases between as I and then D. num_matching is the query span and num_bases
     the paired bases.
     """
-    blocks = target_blocks(paf, row)
-    tiles = pieces_of(blocks).join(stable_mapping(blocks), ["target_name", "piece_start", "piece_end"])
+    # pieces serve both sides, so they are made once
+    pieces = Scratch(paf.sparkSession, "compose").save(pieces_of(target_blocks(paf, row)), "pieces")
+    tiles = pieces.join(stable_of(pieces), ["target_name", "piece_start", "piece_end"])
     n = F.col("piece_end") - F.col("piece_start")
     tiles = tiles.select(
         row, "query_name", "query_len", F.col("piece_query").alias("q0"), (F.col("piece_query") + n).alias("q1"), F.when(F.col("is_reverse") != F.col("s_reverse"), "-").otherwise("+").alias("strand"),

@@ -12,6 +12,7 @@ from strandframe.operators import alignments as al
 from strandframe.operators import compose, graph, intervals, minimizers, partition
 from strandframe.plans import derived
 from strandframe.plans.derived import WITH
+from strandframe.sources import alignments as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -399,3 +400,83 @@ def chain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent = F.struct("query_name", "query_len", F.col("mapq").cast("int").alias("mapq"), "aln_id")
     out = minimizers.to_paf(_hits(spark, sf_dir).withColumn("parent", parent).withColumn("query_name_", F.col("query_name")).withColumn("target_name", F.col("aln_id")))
     return out.select(F.col("target_name").alias("aln_id"), "query_start", "query_end", "strand", "target_start", "num_matching", cigar.to_text(F.col("cigar")).alias("cg"))
+
+
+@query(WITH + """, h as (select aln_id, query_start as q, target_start % 2000 as t, strand, case when b % 3 = 1 then 79 when b % 3 = 2 then 32 else 36 end as te, b % 3 as kind from aln)
+    select aln_id, cast(q + case when kind = 2 then 21 else 0 end as bigint) as query_start, cast(q + case when kind = 1 then 69 else 36 end as bigint) as query_end, strand,
+        cast(case when strand = '-' then 3000 - t - te else t + case when kind = 2 then 17 else 0 end end as bigint) as target_start, cast(case kind when 1 then 44 when 2 then 15 else 36 end as bigint) as num_matching,
+        case kind when 1 then case when strand = '-' then '24M35D25I20M' else '20M25I35D24M' end when 2 then '15M' else '36M' end as cg from h""")
+def chain_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains that go on, that have a gap on both sides, and whose block is taken away by a step back."""
+    kind = F.col("b") % 3
+    offs = lambda plain, gap, back: F.when(kind == 1, F.array(*map(F.lit, gap))).when(kind == 2, F.array(*map(F.lit, back))).otherwise(F.array(*map(F.lit, plain)))
+    paf = derived.alignments(spark, sf_dir)
+    t = F.col("target_start") % 2000
+    hits = paf.select(
+        F.struct("query_name", "query_len", F.col("mapq").cast("int").alias("mapq")).alias("parent"), F.col("aln_id").alias("target_name"), (F.col("strand") == "-").alias("is_reverse"), F.lit(3000).cast("bigint").alias("target_len"),
+        t.alias("t_start"), offs((5, 7, 9), (5, 50, 9), (5, 3, 9)).alias("t_off"), F.col("query_start").alias("q_start"), offs((5, 7, 9), (5, 40, 9), (5, 7, 9)).alias("q_off"), F.lit(15).cast("bigint").alias("kmer"),
+    )
+    out = minimizers.to_paf(hits)
+    return out.select(F.col("target_name").alias("aln_id"), "query_start", "query_end", "strand", "target_start", "num_matching", cigar.to_text(F.col("cigar")).alias("cg"))
+
+
+@query(WITH + _HITS + """, p as (select target_name, pos, sum(keep::int) as hits from st group by all),
+    c as (select target_name, pos, hits, count(*) as cover from p join rg using (target_name) where s <= pos and pos < s + 36 group by all),
+    m as (select aln_id, target_name, i, case when rev then 3000 - (ts + o) - 15 else ts + o end as pos from h, (values (0, 0), (1, 5), (2, 12), (3, 21)) v(i, o))
+    select aln_id, string_agg(case when hits / cover::double >= 0.5 and hits <= cover then '1' else '0' end, '' order by i) as ok from m left join c using (target_name, pos) group by aln_id""")
+def universal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimizers at positions that at least half of the alignments over them have."""
+    hits = _hits(spark, sf_dir)
+    out = minimizers.keep_universal(hits, minimizers.counts(hits, F.col("mapq") >= 20), "aln_id", 0.5)
+    return out.select("aln_id", F.array_join(F.transform("ok", lambda x: x.cast("int").cast("string")), "").alias("ok"))
+
+
+@query(WITH + """, ev as (select query_name, p, sum(d) as d from (select query_name, query_start as p, 1 as d from aln where block_len >= 200 union all select query_name, query_end, -1 from aln where block_len >= 200) group by all),
+    run as (select query_name, p as s, lead(p) over (partition by query_name order by p) as e, sum(d) over (partition by query_name order by p) as k from ev),
+    m as (select aln_id, query_name, block_len, i, query_start + o as ms from aln, (values (0, 0), (1, 5), (2, 12), (3, 21)) v(i, o)),
+    bad as (select distinct aln_id, i from m join run using (query_name) where s < ms + 15 and ms < e and k > case when block_len >= 200 then 1 else 0 end)
+    select m.aln_id, string_agg(case when bad.i is null then '1' else '0' end, '' order by m.i) as ok from m left join bad on m.aln_id = bad.aln_id and m.i = bad.i group by m.aln_id""")
+def overlap_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minimizers whose query bases no other alignment of 200 bases or more covers."""
+    paf = derived.alignments(spark, sf_dir)
+    out = minimizers.keep_single(_hits(spark, sf_dir), paf, "aln_id", 200)
+    return out.select("aln_id", F.array_join(F.transform("ok", lambda x: x.cast("int").cast("string")), "").alias("ok"))
+
+
+@query(ORACLE["path_explode"])
+def path_explode_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of path_explode from GAF rows that are written on the reverse strand."""
+    paf = derived.alignments(spark, sf_dir)
+    step = lambda name, back, lo, hi: F.struct(name.alias("name"), F.lit(back).alias("is_reverse"), F.lit(True).alias("is_stable"), F.lit(True).alias("is_interval"), lo.cast("bigint").alias("start"), hi.cast("bigint").alias("end"))
+    first, second = F.col("a") + F.col("c"), F.col("d") + F.col("e")
+    path = F.array(step(F.concat("target_name", F.lit("x")), False, F.lit(10), second + 10), step(F.col("target_name"), True, F.lit(0), first))
+    gaf = paf.withColumns({"path": path, "cigar": F.reverse("cigar"), "strand": F.lit("-"), "path_len": first + second, "path_start": F.lit(0).cast("bigint"), "path_end": first + second, "matches": F.col("num_matching")})
+    lengths = paf.select("target_name").distinct().select(F.explode(F.array("target_name", F.concat("target_name", F.lit("x")))).alias("name"), F.lit(1000000).cast("bigint").alias("length"))
+    out = al.gaf_to_paf(gaf, lengths, "aln_id")
+    return out.select("aln_id", F.col("step").cast("bigint").alias("step"), "query_start", "query_end", "strand", "target_name", "target_start", "target_end", "num_matching", "num_bases", cigar.to_text(F.col("cigar")).alias("cg"))
+
+
+@query(WITH + """ select aln_id, query_name, query_len, query_start, query_end, strand, target_name, target_len, target_start, target_end, num_matching, num_bases, mapq, tp, cg, cast(a + b + c + e as bigint) as query_bases from aln""")
+def paf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments printed as PAF and parsed again."""
+    paf = derived.alignments(spark, sf_dir)
+    lines = paf.withColumn("tags", F.concat("tags", F.array(sources.make_tag("id", "Z", F.col("aln_id"))))).select(sources.paf_line().alias("value"))
+    rows = sources.parse_paf(lines)
+    t = F.col("tags")
+    return rows.select(sources.tag(t, "id").alias("aln_id"), *sources.PAF, sources.tag(t, "tp").alias("tp"), cigar.to_text(F.col("cigar")).alias("cg"), cigar.query_span(F.col("cigar")).alias("query_bases"))
+
+
+@query(WITH + """ select aln_id, query_name, query_start, query_end, strand, concat('>', target_name, ':0-', a + c, '<', target_name, 'x:10-', 10 + d + e) as path, cast(2 as int) as steps, a + c + d + e as path_len,
+    num_matching as matches, block_len, cast(mapq as int) as mapq, cg from aln""")
+def gaf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments to paths printed as GAF and parsed again."""
+    step = lambda name, back, lo, hi: F.struct(name.alias("name"), F.lit(back).alias("is_reverse"), F.lit(True).alias("is_stable"), F.lit(True).alias("is_interval"), lo.cast("bigint").alias("start"), hi.cast("bigint").alias("end"))
+    first, second = F.col("a") + F.col("c"), F.col("d") + F.col("e")
+    path = F.array(step(F.col("target_name"), False, F.lit(0), first), step(F.concat("target_name", F.lit("x")), True, F.lit(10), second + 10))
+    paf = derived.alignments(spark, sf_dir)
+    gaf = paf.withColumns({"path": path, "path_len": first + second, "path_start": F.lit(0).cast("bigint"), "path_end": first + second, "matches": F.col("num_matching"), "tags": F.concat("tags", F.array(sources.make_tag("id", "Z", F.col("aln_id"))))})
+    rows = sources.parse_gaf(gaf.select(sources.gaf_line().alias("value")))
+    return rows.select(
+        sources.tag(F.col("tags"), "id").alias("aln_id"), "query_name", "query_start", "query_end", "strand", sources.path_text(F.col("path")).alias("path"), F.size("path").alias("steps"), "path_len", "matches", "block_len", "mapq",
+        cigar.to_text(F.col("cigar")).alias("cg"),
+    )

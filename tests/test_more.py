@@ -60,3 +60,46 @@ def test_stream(spark, tmp_path):
     q = rowlocal.masked(rows, bed, lambda df, n: got.extend(df.select("query_start", "query_end", "target_start").collect()))
     q.awaitTermination()
     assert [tuple(r) for r in got] == [(10, 24, 16)]
+
+
+def test_long_rows(spark):
+    """Rows of 400,000 operations and minimizers take time in proportion to their length."""
+    import time
+
+    from strandframe.functions import cigar
+    from strandframe.operators import minimizers
+
+    n = 400_000
+    row = spark.range(1).select(F.expr(f"transform(sequence(1, {n}), i -> named_struct('op', case when i % 3 = 0 then 'I' else 'M' end, 'len', cast(i % 5 + 1 as bigint)))").alias("c"))
+    began = time.time()
+    last = row.select(F.element_at(cigar.placed(F.col("c")), -1).alias("x")).first().x
+    assert (last.q1, last.t1) == (sum(i % 5 + 1 for i in range(1, n + 1)), sum(i % 5 + 1 for i in range(1, n + 1) if i % 3))
+    off = F.expr(f"transform(sequence(1, {n}), i -> 5)")
+    hits = spark.range(1).select(F.lit(7).alias("q_start"), off.alias("q_off"), F.lit(9).alias("t_start"), off.alias("t_off"), F.lit(15).alias("kmer"), F.lit(None).cast("array<boolean>").alias("ok"))
+    found = minimizers.chains(hits).select("blocks").first().blocks
+    assert [tuple(b) for b in found] == [(7, 7 + 5 * n + 15, 9, 9 + 5 * n + 15)] and time.time() - began < 60
+
+
+def test_chains_side_by_side(spark):
+    """Chains of many rows at once are those of one row after the other."""
+    import random
+
+    from strandframe.operators import minimizers
+
+    rnd, rows = random.Random(11), []
+    for i in range(300):
+        n = rnd.choice([0, 1, 2, 5, 9, 40, 300])
+        q = [rnd.choice([3, 5, 20, 60]) for _ in range(n)]
+        t = [x if rnd.random() < 0.7 else max(0, x + rnd.choice([-30, -4, 4, 30])) for x in q]
+        rows.append((i, rnd.randint(0, 50), q, rnd.randint(0, 50), t, 15, None if i % 3 else [rnd.random() < 0.8 for _ in range(n + 1)]))
+    rows.append((300, 1, None, 1, None, 15, None))
+    df = spark.createDataFrame(rows, "id int, q_start int, q_off array<int>, t_start int, t_off array<int>, kmer int, ok array<boolean>")
+    for min_gap, min_match in ((0, 0), (10, 20)):
+        for r in minimizers.chains(df, min_gap, min_match).collect():
+            if r.q_off is None:
+                assert r.blocks is None
+                continue
+            q, t = [r.q_start], [r.t_start]
+            for a, b in zip(r.q_off, r.t_off):
+                q, t = [*q, q[-1] + a], [*t, t[-1] + b]
+            assert [list(b) for b in r.blocks] == minimizers.chain(q, t, r.ok or [True] * len(q), 15, min_gap, min_match)
