@@ -1,15 +1,16 @@
 """Interval algebra on half-open ranges [start, end) by key columns.
 
-Runs of overlapping ranges are found with windows by key. A key may hold a
-large share of all rows, so merging works in two steps: ranges are merged
-within bins of their start first, by (key, bin), and what is left by key.
-Joins on overlap go by (key, bin) as well, and a pair counts in the first bin
-that both ranges share.
+A key may hold a large share of all rows, so windows over ranges go by (key,
+bin of the start). What a bin takes over from the bins before it (how far they
+reach, their depth) comes from a table with one row for each bin, which alone
+is sorted by key. Joins on overlap go by (key, bin) as well, and a pair counts
+in the first bin that both ranges share. Ranges with a null key belong to no
+sequence and are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 BIN = 1 << 16
@@ -30,11 +31,28 @@ def merge(df: DataFrame, keys: list[str], gap: int = 0, sums: dict[str, Column]
     """
     sums = sums or {}
     rows = df.where("start < end").select(*keys, "start", "end", *[c.alias(n) for n, c in sums.items()])
-    rows = rows.withColumn("__bin", F.floor(F.col("start") / bin_width))
-    for by in ([*keys, "__bin"], keys):
-        runs = _islands(rows, by, gap).groupBy(*by, "island")
-        rows = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), *[F.sum(n).alias(n) for n in sums]).drop("island")
-    return rows
+    by = [*keys, "__bin"]
+    total = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.sum(n).alias(n) for n in sums]]
+    runs = _islands(_binned(rows, bin_width), by, gap).groupBy(*by, "island").agg(*total).drop("island")
+
+    # the runs of a bin are apart, so its last one reaches furthest; one that no bin before it reaches begins an island
+    earlier = _earlier(keys)
+    bins = runs.groupBy(*by).agg(F.max("start").alias("__last"), F.max("end").alias("__reach"))
+    bins = bins.withColumn("__before", F.max("__reach").over(earlier))
+    fresh = lambda c: F.col("__before").isNull() | (F.col(c) > F.col("__before") + gap)
+    bins = bins.withColumn("__open", F.last(F.when(fresh("__last"), F.col("__last")), ignorenulls=True).over(earlier))
+    joined = runs.join(bins.select(*by, "__before", "__open"), by)
+    joined = joined.withColumn("__island", F.when(fresh("start"), F.col("start")).otherwise(F.col("__open")))
+    return joined.groupBy(*keys, "__island").agg(*total).drop("__island")
+
+
+def _binned(df: DataFrame, width: int, at: str = "start") -> DataFrame:
+    return df.withColumn("__bin", F.floor(F.col(at) / width))
+
+
+def _earlier(keys: list[str]) -> WindowSpec:
+    """The bins of a key before a bin."""
+    return Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def merge_weighted(df: DataFrame, keys: list[str], gap: int, value: str, bin_width: int = BIN) -> DataFrame:
@@ -43,11 +61,15 @@ def merge_weighted(df: DataFrame, keys: list[str], gap: int, value: str, bin_wid
     return out.select(*keys, "start", "end", F.floor((F.col("end") - F.col("start")) * F.col("__v") / F.col("__n")).cast("bigint").alias(value))
 
 
-def complement(runs: DataFrame, lengths: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
+def complement(runs: DataFrame, lengths: DataFrame, keys: list[str], least: int = 1, bin_width: int = BIN) -> DataFrame:
     """keys, start, end: what disjoint runs leave free of [0, length), in pieces of least bases at least. lengths: keys and length; keys without runs are free as a whole."""
     both = lengths.select(*keys, F.col("length").alias("start"), F.col("length").alias("end")).unionByName(runs.select(*keys, "start", "end"))
-    order = Window.partitionBy(*keys).orderBy("start", "end")
-    gaps = both.withColumn("__s", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both, by = _binned(both, bin_width), [*keys, "__bin"]
+    bins = both.groupBy(*by).agg(F.max("end").alias("__reach"))
+    bins = bins.select(*by, F.coalesce(F.max("__reach").over(_earlier(keys)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    within = both.withColumn("__in", F.max("end").over(inside))
+    gaps = within.join(bins, by).withColumn("__s", F.greatest("__in", "__before"))
     return gaps.select(*keys, F.col("__s").alias("start"), F.col("start").alias("end")).where(F.col("end") - F.col("start") >= max(1, least))
 
 
@@ -121,13 +143,18 @@ def padded(df: DataFrame, pad: int) -> DataFrame:
     return df.withColumn("start", F.col("start") - pad).withColumn("end", F.col("end") + pad)
 
 
-def depth(df: DataFrame, keys: list[str], most: int | None = None) -> DataFrame:
+def depth(df: DataFrame, keys: list[str], most: int | None = None, bin_width: int = BIN) -> DataFrame:
     """keys, start, end, depth: stretches of equal depth above 0; depth stops at most. Events are pre-aggregated by position."""
     ends = F.explode(F.array(F.struct(F.col("start").alias("p"), F.lit(1).alias("d")), F.struct(F.col("end").alias("p"), F.lit(-1).alias("d"))))
     events = df.where("start < end").select(*keys, ends.alias("e")).groupBy(*keys, F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("p")
+    events, by = _binned(events, bin_width, "p"), [*keys, "__bin"]
+    bins = events.groupBy(*by).agg(F.sum("d").alias("__d"), F.min("p").alias("__first"))
+    onward = F.lead("__first").over(Window.partitionBy(*keys).orderBy("__bin"))
+    bins = bins.select(*by, F.coalesce(F.sum("__d").over(_earlier(keys)), F.lit(0)).alias("__before"), onward.alias("__next"))
+    order = Window.partitionBy(*by).orderBy("p")
     now = F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    at = events.select(*keys, F.col("p").alias("start"), F.lead("p").over(order).alias("end"), now.alias("depth")).where("depth > 0")
+    within = events.withColumns({"__now": now, "__end": F.lead("p").over(order)}).join(bins, by)
+    at = within.select(*keys, F.col("p").alias("start"), F.coalesce("__end", "__next").alias("end"), (F.col("__now") + F.col("__before")).alias("depth")).where("depth > 0")
     return at.withColumn("depth", F.least("depth", F.lit(most).cast("bigint"))) if most else at
 
 
