@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.names import with_prefix
 from strandframe.operators import intervals
+from strandframe.operators.components import component_of
 from strandframe.scratch import Scratch
 
 
@@ -14,10 +15,13 @@ def label_nodes(nodes: DataFrame, edges: DataFrame, strict: bool = True) -> Data
     """node_id, contig: rank 0 nodes have their own contig; others take it from neighbours of lower rank, or of equal rank once these have one.
 
     nodes: node_id, rank, contig (of rank 0). edges: source, sink (ids), either
-    way. Labels flow along edges towards equal or higher rank, a round of joins
-    for each step, until none is new. strict raises if a node gets two labels
-    or none, or an edge names an unknown node; otherwise nodes with two labels
-    have a row for each and nodes without have none.
+    way. Labels flow along edges towards equal or higher rank. Nodes of equal
+    rank that edges connect have the same labels, so these are made one first;
+    then a round of joins for each step upwards in rank, until none is new. So
+    rounds grow with the number of ranks and the logarithm of a chain's length.
+    strict raises if a node gets two labels or none, or an edge names an
+    unknown node; otherwise nodes with two labels have a row for each and nodes
+    without have none.
     """
     scratch = Scratch(nodes.sparkSession, "labels")
     ranks = scratch.save(nodes.select("node_id", "rank"), "ranks")
@@ -27,14 +31,19 @@ def label_nodes(nodes: DataFrame, edges: DataFrame, strict: bool = True) -> Data
     ways = both.join(ru, "u", "left").join(rv, "v", "left")
     if strict and not ways.where("ru is null or rv is null").isEmpty():
         raise ValueError("an edge names a node that has no segment")
-    ways = scratch.save(ways.where("rv > 0 and ru <= rv").select("u", "v"), "ways")
-    known = scratch.save(nodes.where("rank = 0").select("node_id", "contig").distinct(), "known")
-    fresh = known
+    ways = scratch.save(ways.where("rv > 0 and ru <= rv").select("u", "v", (F.col("ru") == F.col("rv")).alias("level")), "ways")
+    level = scratch.save(component_of(ways.where("level").select(F.col("u").alias("a"), F.col("v").alias("b")), scratch), "level")
+    of = lambda c, as_: level.select(F.col("node").alias(c), F.col("component").alias(as_))
+    up = ways.where("not level").join(of("u", "cu"), "u", "left").join(of("v", "cv"), "v", "left")
+    up = scratch.save(up.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).distinct(), "up")
+    named = scratch.save(nodes.where("rank = 0").select("node_id", "contig").distinct(), "named")
+    known = fresh = named
     while not fresh.isEmpty():
-        reached = fresh.select(F.col("node_id").alias("u"), "contig").join(ways, "u").select(F.col("v").alias("node_id"), "contig").distinct()
+        reached = fresh.select(F.col("node_id").alias("u"), "contig").join(up, "u").select(F.col("v").alias("node_id"), "contig").distinct()
         fresh = scratch.save(reached.join(known, ["node_id", "contig"], "left_anti"), "fresh")
-        before, known = known, scratch.save(known.unionByName(fresh), "known")
-        scratch.free(before)
+        known = scratch.save(known.unionByName(fresh), "known")
+    members = known.withColumnRenamed("node_id", "component").join(level, "component").select(F.col("node").alias("node_id"), "contig")
+    known = known.join(level.select(F.col("node").alias("node_id")), "node_id", "left_anti").unionByName(members)
     if strict:
         if not known.groupBy("node_id").count().where("count > 1").isEmpty():
             raise ValueError("a node is reached from two contigs")

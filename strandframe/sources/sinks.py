@@ -36,8 +36,26 @@ def length_lines(lengths: DataFrame) -> DataFrame:
 
 
 def run_totals(paf: DataFrame) -> DataFrame:
-    """rows, matches, bases, queries, targets of a table of alignments; one pass."""
+    """rows, matches, bases, queries, targets of a table of alignments, all exact."""
     return paf.agg(
         F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("num_matching"), F.lit(0)).alias("matches"), F.coalesce(F.sum("num_bases"), F.lit(0)).alias("bases"),
-        F.approx_count_distinct("query_name").alias("queries"), F.approx_count_distinct("target_name").alias("targets"),
+        F.count_distinct("query_name").alias("queries"), F.count_distinct("target_name").alias("targets"),
     )
+
+
+def loss_totals(before: DataFrame, after: DataFrame) -> DataFrame:
+    """rows, bases, rows_left, bases_left, bases_lost: query bases of alignments before and after a filter or mask."""
+    span = F.col("query_end") - F.col("query_start")
+    totals = lambda df, more: df.agg(F.count(F.lit(1)).alias("rows" + more), F.coalesce(F.sum(span), F.lit(0)).alias("bases" + more))
+    # one row each
+    both = totals(before, "").withColumn("__k", F.lit(0)).join(totals(after, "_left").withColumn("__k", F.lit(0)), "__k").drop("__k")
+    return both.withColumn("bases_lost", F.col("bases") - F.col("bases_left"))
+
+
+def fasta_lines(fasta: DataFrame, width: int = 0) -> DataFrame:
+    """name and value: a record's header and its sequence, in lines of width letters if that is given."""
+    head = F.concat(F.lit(">"), F.concat_ws(" ", "name", F.nullif(F.col("description"), F.lit("")))) if "description" in fasta.columns else F.concat(F.lit(">"), F.col("name"))
+    seq = F.coalesce("seq", F.lit(""))
+    if width:
+        seq = F.regexp_replace(seq, f"(.{{{width}}})(?=.)", "$1\n")
+    return fasta.select("name", F.concat(head, F.lit("\n"), seq).alias("value"))
