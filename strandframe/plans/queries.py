@@ -13,6 +13,7 @@ from strandframe.operators import compose, graph, intervals, minimizers, partiti
 from strandframe.plans import derived
 from strandframe.plans.derived import WITH
 from strandframe.sources import alignments as sources
+from strandframe.sources import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -480,3 +481,36 @@ def gaf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         sources.tag(F.col("tags"), "id").alias("aln_id"), "query_name", "query_start", "query_end", "strand", sources.path_text(F.col("path")).alias("path"), F.size("path").alias("steps"), "path_len", "matches", "block_len", "mapq",
         cigar.to_text(F.col("cigar")).alias("cg"),
     )
+
+
+@query(WITH + """ select count(*) as rows, cast(sum(num_matching) as bigint) as matches, cast(sum(num_bases) as bigint) as bases, count(distinct query_name) as queries, count(distinct target_name) as targets from aln""")
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.run_totals(derived.alignments(spark, sf_dir))
+
+
+@query(WITH + """, t as (select count(*) as rows, sum(query_end - query_start) as bases, count(*) filter (where mapq >= 20) as rows_left, sum(query_end - query_start) filter (where mapq >= 20) as bases_left from aln)
+    select rows, cast(bases as bigint) as bases, rows_left, cast(bases_left as bigint) as bases_left, cast(bases - bases_left as bigint) as bases_lost from t""")
+def loss_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and query bases that a filter on mapq leaves and takes."""
+    paf = derived.alignments(spark, sf_dir)
+    return sinks.loss_totals(paf, paf.where("mapq >= 20"))
+
+
+@query(WITH + """ select name, case when node_id % 2 = 0 then length else length + 1 end as length from seg where node_id % 2 = 0 or node_id % 3 = 0""")
+def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two graphs that share some segments, of which those of the first count."""
+    seg = derived.segments(spark, sf_dir).select("name", "node_id", "length")
+    other = seg.where("node_id % 3 = 0").withColumn("length", F.col("length") + 1)
+    return graph.merge_graphs(seg.where("node_id % 2 = 0"), other).select("name", "length")
+
+
+@query(WITH + """, ch as (select query_name, min(query_start) as s, min(query_end) as e from aln where mapq >= 20 group by all),
+    q as (select distinct query_name from aln)
+    select query_name, cast(0 as bigint) as start, coalesce(s, 1000000) as "end", 'ambiguous' as contig from q left join ch using (query_name) where coalesce(s, 1000000) > 0
+    union all select query_name, e, 1000000, 'ambiguous' from ch where e < 1000000""")
+def unassigned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one chunk of each query, where it has one, leaves free."""
+    paf = derived.alignments(spark, sf_dir)
+    chunks = paf.where("mapq >= 20").groupBy("query_name").agg(F.min("query_start").alias("start"), F.min("query_end").alias("end"))
+    lengths = paf.groupBy("query_name").agg(F.max("query_len").alias("length"))
+    return partition.unassigned(chunks, lengths)
