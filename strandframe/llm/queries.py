@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, filter_audit, lines, mixing, nndescent, quality, simhash, token_counts, tokens, toxicity, url_rules
+from strandframe.llm import decontaminate, filter_audit, lines, mixing, nndescent, pieces, quality, simhash, token_counts, tokens, toxicity, url_rules
 from strandframe.llm.common import load
 
 
@@ -54,6 +54,10 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.op12_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op13_query(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_length_histogram": op1_length_histogram,
     "op2_pivotal_mix": op2_pivotal_mix,
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_window_decontamination": op9_window_decontamination,
     "op10_importance_resampling": op10_importance_resampling,
     "op12_filter_interactions": op12_filter_interactions,
+    "op13_sentencepiece": op13_sentencepiece,
 }
 
 ORACLE: dict[str, str] = {"op12_filter_interactions": filter_audit.SQL}
