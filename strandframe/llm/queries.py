@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandframe.llm import decontaminate, filter_audit, lines, mixing, nndescent, pieces, quality, simhash, token_counts, tokens, toxicity, url_rules
+from strandframe.llm import decontaminate, filter_audit, lines, mixing, nndescent, pieces, quality, simhash, token_counts, tokens, toxicity, url_rules, whitening
 from strandframe.llm.common import load
 
 
@@ -50,6 +50,10 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op10_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.op11_query(load(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.op12_query(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mil_toxicity": op8_mil_toxicity,
     "op9_window_decontamination": op9_window_decontamination,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_exact_whitening": op11_exact_whitening,
     "op12_filter_interactions": op12_filter_interactions,
     "op13_sentencepiece": op13_sentencepiece,
 }
