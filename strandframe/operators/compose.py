@@ -24,9 +24,9 @@ def target_blocks(paf: DataFrame, row: str) -> DataFrame:
     )
 
 
-def pieces_of(blocks: DataFrame) -> DataFrame:
-    """Blocks cut at all their ends, with the query position of each piece."""
-    cut = intervals.cut_at_ends(blocks, ["target_name"])
+def pieces_of(blocks: DataFrame, row: list[str]) -> DataFrame:
+    """Blocks (row tells them apart) cut at all their ends, with the query position of each piece."""
+    cut = intervals.cut_at_ends(blocks, ["target_name"], row)
     before = F.when(F.col("is_reverse"), F.col("end") - F.col("piece_end")).otherwise(F.col("piece_start") - F.col("start"))
     return cut.withColumn("piece_query", F.col("query_pos") + before)
 
@@ -39,7 +39,7 @@ def stable_of(pieces: DataFrame) -> DataFrame:
 
 def stable_mapping(blocks: DataFrame) -> DataFrame:
     """stable_of the pieces of blocks."""
-    return stable_of(pieces_of(blocks.drop(*[c for c in blocks.columns if c not in BLOCK]).distinct()))
+    return stable_of(pieces_of(blocks.drop(*[c for c in blocks.columns if c not in BLOCK]).distinct(), list(BLOCK)))
 
 
 def compose(paf: DataFrame, row: str) -> DataFrame:
@@ -51,7 +51,7 @@ def compose(paf: DataFrame, row: str) -> DataFrame:
     the paired bases.
     """
     # pieces serve both sides, so they are made once
-    pieces = Scratch(paf.sparkSession, "compose").save(pieces_of(target_blocks(paf, row)), "pieces")
+    pieces = Scratch(paf.sparkSession, "compose").save(pieces_of(target_blocks(paf, row), [row, "start"]), "pieces")
     tiles = pieces.join(stable_of(pieces), ["target_name", "piece_start", "piece_end"])
     n = F.col("piece_end") - F.col("piece_start")
     tiles = tiles.select(

@@ -90,10 +90,10 @@ def stable_index(segments: DataFrame) -> DataFrame:
     return rows.select(F.col("sn").alias("contig"), F.col("so").alias("n_start"), (F.col("so") + F.col("length")).alias("n_end"), F.col("name").alias("node"), "node_id")
 
 
-def node_lookup(ranges: DataFrame, index: DataFrame, bin_width: int = intervals.BIN) -> DataFrame:
+def node_lookup(ranges: DataFrame, index: DataFrame) -> DataFrame:
     """ranges (contig, start, end, others) with each node that they meet: node, node_id, n_start, n_end."""
     right = index.withColumnRenamed("n_start", "r_start").withColumnRenamed("n_end", "r_end")
-    met = intervals.overlap_join(ranges, right, ["contig"], "overlap", bin_width)
+    met = intervals.overlap_join(ranges, right, ["contig"])
     return met.withColumnRenamed("r_start", "n_start").withColumnRenamed("r_end", "n_end")
 
 

@@ -3,9 +3,13 @@
 A key may hold a large share of all rows, so windows over ranges go by (key,
 bin of the start). What a bin takes over from the bins before it (how far they
 reach, their depth) comes from a table with one row for each bin, which alone
-is sorted by key. Joins on overlap go by (key, bin) as well, and a pair counts
-in the first bin that both ranges share. Ranges with a null key belong to no
-sequence and are left out.
+is sorted by key. Ranges with a null key belong to no sequence and are left out.
+
+Joins on overlap have bins of several widths. A range's own length gives its
+level, whose bins are at least as wide, so it lies in one or two of them. A
+shorter range is lifted to the levels of longer ones on the other side, and a
+pair counts in the first bin that both share. Bins with many rows are dealt
+into blocks, each pair of which is a group of its own.
 """
 
 from __future__ import annotations
@@ -13,7 +17,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandframe.scratch import Scratch
+
+#: Width of the bins that windows go by.
 BIN = 1 << 16
+#: Rows of one side that a bin holds at most before it is dealt.
+HEAVY = 4096
+#: A bin of level l is 4 ** l bases wide; shorter ranges than those of the least level share its bins.
+LEAST_LEVEL = 3
+#: Heavy bins up to which their table is broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _islands(df: DataFrame, by: list[str], gap: int) -> DataFrame:
@@ -27,13 +40,15 @@ def _islands(df: DataFrame, by: list[str], gap: int) -> DataFrame:
 def merge(df: DataFrame, keys: list[str], gap: int = 0, sums: dict[str, Column] | None = None, bin_width: int = BIN) -> DataFrame:
     """keys, start, end and the sums of each run of ranges that overlap, touch or are at most gap apart. Empty ranges are dropped.
 
-    sums: name to a Column that is added up over a run.
+    sums: name to a Column that is added up over a run. The runs within bins
+    are written, as they are needed twice, so df is read once.
     """
     sums = sums or {}
     rows = df.where("start < end").select(*keys, "start", "end", *[c.alias(n) for n, c in sums.items()])
     by = [*keys, "__bin"]
     total = [F.min("start").alias("start"), F.max("end").alias("end"), *[F.sum(n).alias(n) for n in sums]]
     runs = _islands(_binned(rows, bin_width), by, gap).groupBy(*by, "island").agg(*total).drop("island")
+    runs = Scratch(df.sparkSession, "merge").save(runs, "runs")
 
     # the runs of a bin are apart, so its last one reaches furthest; one that no bin before it reaches begins an island
     earlier = _earlier(keys)
@@ -73,24 +88,78 @@ def complement(runs: DataFrame, lengths: DataFrame, keys: list[str], least: int
     return gaps.select(*keys, F.col("__s").alias("start"), F.col("start").alias("end")).where(F.col("end") - F.col("start") >= max(1, least))
 
 
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.sequence(F.floor(start / width), F.floor(F.greatest(end - 1, start) / width))
+def _last(start: Column, end: Column) -> Column:
+    """The last base of a range; empty ranges stand at their start."""
+    return F.greatest(end - 1, start)
+
+
+def level(start: Column, end: Column) -> Column:
+    """The level of a range: 4 ** level is at least its length."""
+    return F.greatest(_quarters(start, end), F.lit(LEAST_LEVEL))
+
+
+def _quarters(start: Column, end: Column) -> Column:
+    bits = F.length(F.bin((_last(start, end) - start).cast("bigint")))
+    return F.floor((bits + 1) / 2).cast("int")
+
+
+def down(at: Column, lev: Column) -> Column:
+    """The bin of a base."""
+    return F.call_function("shiftright", at.cast("bigint"), (lev * 2).cast("int"))
+
+
+def _in_bins(df: DataFrame, start: str, end: Column, places: Column) -> DataFrame:
+    """df with a row for each bin (__at: role, level, bin) of each of places (role, level)."""
+    first, last = F.col(start), _last(F.col(start), end)
+    bins = lambda p: F.transform(F.sequence(down(first, p["level"]), down(last, p["level"])), lambda b: F.struct(p["role"].alias("role"), p["level"].alias("level"), b.alias("bin")))
+    return df.withColumn("__at", F.explode(F.flatten(F.transform(places, bins))))
+
 
+def _place(role: int, lev: Column | int) -> Column:
+    return F.struct(F.lit(role).alias("role"), (F.lit(lev) if isinstance(lev, int) else lev).alias("level"))
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "overlap", bin_width: int = BIN) -> DataFrame:
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "overlap", heavy: int = HEAVY) -> DataFrame:
     """Pairs of rows with equal keys. left has keys, start, end; right keys, r_start, r_end; other columns need names of their own.
 
     how: overlap (a base in common), contains (the right range lies in the left one), stab (the left start lies in the right range).
+
+    Both sides are read once beforehand to see which levels there are, and
+    once more for the rows in each bin if one may hold over heavy. Blocks of a
+    heavy bin are told by a hash of the whole row, so they come out alike when
+    a task is run again.
     """
-    first = F.greatest(F.floor(F.col("start") / bin_width), F.floor(F.col("r_start") / bin_width))
+    end = F.col("start") + 1 if how == "stab" else F.col("end")
     conditions = {
         "overlap": (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end")),
         "contains": (F.col("start") <= F.col("r_start")) & (F.col("r_end") <= F.col("end")) & (F.col("r_start") < F.col("r_end")),
         "stab": (F.col("r_start") <= F.col("start")) & (F.col("start") < F.col("r_end")),
     }
-    a = left.withColumn("__bin", F.explode(_bins(F.col("start"), F.col("start") + 1 if how == "stab" else F.col("end"), bin_width)))
-    b = right.withColumn("__bin", F.explode(_bins(F.col("r_start"), F.col("r_end"), bin_width)))
-    return a.join(b, [*keys, "__bin"]).where(conditions[how] & (F.col("__bin") == first)).drop("__bin")
+    own, r_own = level(F.col("start"), end), level(F.col("r_start"), F.col("r_end"))
+    found = left.select(F.lit(0).alias("side"), own.alias("level")).unionByName(right.select(F.lit(1).alias("side"), r_own.alias("level"))).groupBy("side", "level").count().where("level is not null").collect()
+    levels = [sorted(r.level for r in found if r.side == side) for side in (0, 1)]
+    most = max((sum(r["count"] for r in found if r.side == side) for side in (0, 1)), default=0)
+
+    # role 0: the left range is at its own level, the right one at its own or lifted; role 1: the left one is lifted
+    above = lambda role, others, mine: F.filter(F.array(*[_place(role, x) for x in others]), lambda p: p["level"] > mine)
+    none = F.array().cast("array<struct<role:int,level:int>>")
+    places = F.concat(F.array(_place(0, own)), above(1, levels[1], own)) if levels[1] else none
+    r_places = F.concat(F.array(_place(0, r_own), _place(1, r_own)), above(0, levels[0], r_own)) if levels[0] else none
+    a, b, by = _in_bins(left, "start", end, places), _in_bins(right, "r_start", F.col("r_end"), r_places), [*keys, "__at"]
+    if most > heavy:
+        count = lambda df, x, y: df.select(*by, F.lit(x).alias("__a"), F.lit(y).alias("__b"))
+        bins = count(a, 1, 0).unionByName(count(b, 0, 1)).groupBy(*by).agg(F.sum("__a").alias("__a"), F.sum("__b").alias("__b")).where(f"__a > 0 and __b > 0 and greatest(__a, __b) > {heavy}")
+        parts = lambda c: F.ceil(F.col(c) / heavy).cast("bigint").alias(c)
+        bins = Scratch(left.sparkSession, "overlap").save(bins.select(*by, parts("__a"), parts("__b")), "heavy")
+        n = bins.count()
+        if n:
+            bins = F.broadcast(bins) if n <= BROADCAST_ROWS else bins
+            every = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col(c), F.lit(1)) - 1))
+            a = a.withColumn("__h", F.xxhash64(*left.columns)).join(bins, by, "left").withColumn("__i", F.pmod("__h", F.coalesce("__a", F.lit(1)))).withColumn("__j", every("__b"))
+            b = b.withColumn("__h", F.xxhash64(*right.columns)).join(bins, by, "left").withColumn("__j", F.pmod("__h", F.coalesce("__b", F.lit(1)))).withColumn("__i", every("__a"))
+            a, b, by = a.drop("__h", "__a", "__b"), b.drop("__h", "__a", "__b"), [*by, "__i", "__j"]
+    first = F.greatest(down(F.col("start"), F.col("__at.level")), down(F.col("r_start"), F.col("__at.level")))
+    return a.join(b, by).where(conditions[how] & (F.col("__at.bin") == first)).drop("__at", "__i", "__j")
 
 
 def subtract(df: DataFrame, masks: DataFrame, keys: list[str], row: str, least: int = 1, bin_width: int = BIN) -> DataFrame:
@@ -99,7 +168,7 @@ def subtract(df: DataFrame, masks: DataFrame, keys: list[str], row: str, least:
     row names a column that tells df's rows apart.
     """
     flat = merge(masks, keys, 0, None, bin_width).select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    met = overlap_join(df.select(*keys, row, "start", "end"), flat, keys, "overlap", bin_width)
+    met = overlap_join(df.select(*keys, row, "start", "end"), flat, keys)
     held = met.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(F.col("r_start").alias("s"), F.col("r_end").alias("e")))).alias("__m"))
     out = df.join(held, row, "left").withColumn("masked", F.col("__m").isNotNull())
     starts = F.concat(F.array("start"), F.transform(F.coalesce("__m", F.array().cast("array<struct<s:bigint,e:bigint>>")), lambda m: m["e"]))
@@ -109,20 +178,21 @@ def subtract(df: DataFrame, masks: DataFrame, keys: list[str], row: str, least:
     return cut.drop("__m", "__p")
 
 
-def cut_at_ends(df: DataFrame, keys: list[str], bin_width: int = BIN) -> DataFrame:
-    """df's rows in pieces (piece_start, piece_end) cut at every start and end of any range of the key, so that pieces are equal or disjoint."""
+def cut_at_ends(df: DataFrame, keys: list[str], row: list[str]) -> DataFrame:
+    """df's rows in pieces (piece_start, piece_end) cut at every start and end of any range of the key, so that pieces are equal or disjoint.
+
+    row names columns that tell df's rows apart.
+    """
     points = df.select(*keys, F.explode(F.array("start", "end")).alias("p")).distinct()
     at = points.select(*keys, F.col("p").alias("r_start"), (F.col("p") + 1).alias("r_end"))
-    rows = df.withColumn("__row", F.struct(*df.columns))
-    inner = overlap_join(rows.select(*keys, "start", "end", "__row"), at, keys, "overlap", bin_width)
-    cuts = inner.groupBy("__row", *keys).agg(F.sort_array(F.collect_set("r_start")).alias("__c"), F.count(F.lit(1)).alias("__n"))
-    n_points = F.size("__c")
+    inner = overlap_join(df, at, keys)
+    rest = [c for c in df.columns if c not in row]
+    cuts = inner.groupBy(*row).agg(F.sort_array(F.collect_set("r_start")).alias("__c"), *[F.first(c).alias(c) for c in rest])
     piece = F.transform(
-        F.sequence(F.lit(0), n_points - 1),
-        lambda i: F.struct(F.get(F.col("__c"), i).alias("s"), F.coalesce(F.get(F.col("__c"), i + 1), F.col("__row.end")).alias("e")),
+        F.sequence(F.lit(0), F.size("__c") - 1), lambda i: F.struct(F.get(F.col("__c"), i).alias("s"), F.coalesce(F.get(F.col("__c"), i + 1), F.col("end")).alias("e"))
     )
-    out = cuts.select("__row.*", F.explode(piece).alias("__p"))
-    return out.select("*", F.col("__p.s").alias("piece_start"), F.col("__p.e").alias("piece_end")).drop("__p")
+    out = cuts.select(*df.columns, F.explode(piece).alias("__p"))
+    return out.select(*df.columns, F.col("__p.s").alias("piece_start"), F.col("__p.e").alias("piece_end"))
 
 
 def first_of_equal(pieces: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -131,12 +201,70 @@ def first_of_equal(pieces: DataFrame, keys: list[str], order: list[str]) -> Data
     return pieces.withColumn("__r", F.row_number().over(rank)).where("__r = 1").drop("__r")
 
 
-def drop_shorter(df: DataFrame, keys: list[str], row: str, bin_width: int = BIN) -> DataFrame:
-    """df without ranges that a strictly longer range of their key overlaps."""
-    other = df.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end"))
-    met = overlap_join(df.select(*keys, row, "start", "end"), other, keys, "overlap", bin_width)
-    beaten = met.where(F.col("r_end") - F.col("r_start") > F.col("end") - F.col("start")).select(row).distinct()
-    return df.join(beaten, row, "left_anti")
+#: Positions of a cell that are swept together.
+SWEEP = 1024
+
+
+def longest_over(ranges: DataFrame, points: DataFrame, keys: list[str], sweep: int = SWEEP) -> DataFrame:
+    """keys, p, longest: the length of the longest of ranges (keys, start, end) over each of points (keys, p, beyond), by a sweep without pairs.
+
+    beyond is a length: ranges that are certainly no longer may be left out.
+    Points that no range covers have no row.
+
+    A range of level l, longer than a cell of 4 ** (l - 1) bases, covers of
+    such a cell what lies after its start, what lies before its end, or all.
+    So the longest one over a point is a running maximum, by start or from the
+    other side by end, of ranges pre-aggregated by position. A sweep takes
+    some positions of a cell, and takes over the maximum of the sweeps before
+    it from a table with one row for each: ranges that pile up over one base
+    are dealt to many tasks.
+    """
+    lev = _quarters(F.col("start"), F.col("end"))
+    fine = ranges.where("start < end").select(*keys, "start", "end", lev.alias("__l")).groupBy(*keys, "__l", "start").agg(F.max("end").alias("end"))
+    fine = Scratch(ranges.sparkSession, "sweep").save(fine, "ranges")
+    levels = [r[0] for r in fine.select("__l").distinct().collect()]
+
+    cell, width = F.col("__l") - 1, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("__l") * 2 - 2)
+    events = fine.select("*", F.explode(F.sequence(down(F.col("start"), cell), down(F.col("end") - 1, cell))).alias("__c"))
+    from_start = F.col("start") > F.col("__c") * width
+    stop = F.least("end", (F.col("__c") + 1) * width)
+    at = F.when(from_start, F.col("start")).otherwise(-stop)
+    events = events.select(*keys, "__l", "__c", (~from_start).alias("__side"), at.alias("__o"), F.lit(False).alias("__asks"), (F.col("end") - F.col("start")).alias("__n"))
+
+    some = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= _quarters(F.lit(0), F.col("beyond")))
+    asked = points.select(*keys, "p", F.explode(some).alias("__l")).withColumn("__c", down(F.col("p"), cell))
+    # from the other side, ends before -p and points at -p - 1 keep the order of whole numbers
+    sides = F.array(F.struct(F.lit(False).alias("s"), F.col("p").alias("o")), F.struct(F.lit(True).alias("s"), (-F.col("p") - 1).alias("o")))
+    asked = asked.select(*keys, "__l", "__c", F.explode(sides).alias("x")).select(*keys, "__l", "__c", F.col("x.s").alias("__side"), F.col("x.o").alias("__o"), F.lit(True).alias("__asks"), F.lit(None).cast("bigint").alias("__n"))
+
+    group = [*keys, "__l", "__c", "__side"]
+    rows = events.unionByName(asked).groupBy(*group, "__o", "__asks").agg(F.max("__n").alias("__n")).withColumn("__sweep", F.floor(F.col("__o") / sweep))
+    rows = Scratch(ranges.sparkSession, "sweep").save(rows, "rows")
+    sweeps = rows.where("not __asks").groupBy(*group, "__sweep").agg(F.max("__n").alias("__n"))
+    # a sweep hands on to all after it, those without ranges of their own included
+    both = sweeps.withColumn("__asks", F.lit(False)).unionByName(rows.where("__asks").select(*group, "__sweep").distinct().withColumns({"__n": F.lit(None).cast("bigint"), "__asks": F.lit(True)}))
+    before = Window.partitionBy(*group).orderBy("__sweep").rangeBetween(Window.unboundedPreceding, -1)
+    carried = both.withColumn("__before", F.max("__n").over(before)).where("__asks").select(*group, "__sweep", "__before")
+    within = Window.partitionBy(*group, "__sweep").orderBy("__o", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumn("__n", F.max("__n").over(within)).where("__asks").join(carried, [*group, "__sweep"])
+    p = F.when(F.col("__side"), -F.col("__o") - 1).otherwise(F.col("__o"))
+    return local.select(*keys, p.alias("p"), F.greatest("__n", "__before").alias("longest")).where("longest is not null").groupBy(*keys, "p").agg(F.max("longest").alias("longest"))
+
+
+def drop_shorter(df: DataFrame, keys: list[str], sweep: int = SWEEP) -> DataFrame:
+    """df without ranges that a strictly longer range of their key overlaps. Empty ranges overlap nothing and stay.
+
+    A longer range that overlaps a range covers its first or its last base, so
+    the longest ranges over these two tell; equal ranges are asked once.
+    """
+    each = df.where("start < end").select(*keys, "start", "end").distinct()
+    n = F.col("end") - F.col("start")
+    points = each.select(*keys, F.explode(F.array("start", F.col("end") - 1)).alias("p"), n.alias("n")).groupBy(*keys, "p").agg(F.min("n").alias("beyond"))
+    longest = longest_over(each, points, keys, sweep)
+    at = lambda c, name: longest.select(*keys, F.col("p").alias(c), F.col("longest").alias(name))
+    asked = each.withColumn("__last", F.col("end") - 1).join(at("start", "__a"), [*keys, "start"]).join(at("__last", "__b"), [*keys, "__last"])
+    beaten = asked.where(F.greatest("__a", "__b") > n).select(*keys, "start", "end")
+    return df.join(beaten, [*keys, "start", "end"], "left_anti")
 
 
 def padded(df: DataFrame, pad: int) -> DataFrame:

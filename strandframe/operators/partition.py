@@ -116,7 +116,7 @@ def smooth_chunks(coverage: DataFrame, masked: DataFrame | None = None, threshol
     The rest of a query, a short list, is then smoothed in eight dependent
     passes, one group of rows for each query.
     """
-    runs = intervals.drop_shorter(coverage.withColumn("__row", F.xxhash64("query_name", "contig", "start", "end")), ["query_name"], "__row").drop("__row")
+    runs = intervals.drop_shorter(coverage, ["query_name"])
     runs = runs.withColumn("least", step(F.col("query_len"), thresholds or [], last))
     if masked is not None:
         runs = runs.join(masked.select(F.col("name").alias("query_name"), "masked"), "query_name", "left")

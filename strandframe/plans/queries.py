@@ -206,7 +206,7 @@ def point_stab_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     and y.query_start < x.query_end and x.query_start < y.query_end and y.query_end - y.query_start > x.query_end - x.query_start)""")
 def drop_shorter_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = derived.alignments(spark, sf_dir).select("aln_id", "query_name", F.col("query_start").alias("start"), F.col("query_end").alias("end"))
-    return intervals.drop_shorter(rows, ["query_name"], "aln_id").select("aln_id", "start", "end")
+    return intervals.drop_shorter(rows, ["query_name"]).select("aln_id", "start", "end")
 
 
 @query(WITH + """, ev as (select query_name, p, sum(d) as d from (select query_name, query_start as p, 1 as d from aln where block_len >= 200 union all select query_name, query_end, -1 from aln where block_len >= 200) group by all),

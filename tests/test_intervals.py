@@ -73,9 +73,9 @@ def test_subtract(spark, table, rows):
 
 
 def test_cut_and_drop(table, rows):
-    got = intervals.cut_at_ends(table, ["k"], 16).collect()
+    got = intervals.cut_at_ends(table, ["k"], ["id"]).collect()
     for i, k, s, e in rows:
         points = sorted({p for _, k2, a, b in rows if k2 == k for p in (a, b) if s < p < e} | {s, e})
         assert sorted((r.piece_start, r.piece_end) for r in got if r.id == i) == list(zip(points[:-1], points[1:], strict=True))
-    kept = {r.id for r in intervals.drop_shorter(table, ["k"], "id").collect()}
+    kept = {r.id for r in intervals.drop_shorter(table, ["k"], 16).collect()}
     assert kept == {a[0] for a in rows if not any(b[1] == a[1] and b[2] < a[3] and a[2] < b[3] and b[3] - b[2] > a[3] - a[2] for b in rows)}
