@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.names import with_prefix
-from strandframe.operators import intervals
+from strandframe.operators import intervals, sequences
 from strandframe.operators.components import component_of
 from strandframe.scratch import Scratch
 
@@ -181,9 +181,10 @@ def trim_segments(segments: DataFrame, edges: DataFrame, least: int = 0, no_ambi
     return segments.where(fine), left
 
 
-def fill_sequences(segments: DataFrame, fasta: DataFrame) -> DataFrame:
-    """segments with * sequences taken from fasta (name, seq) where it has them."""
-    both = segments.join(fasta.select("name", F.col("seq").alias("__s")), "name", "left")
+def fill_sequences(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """segments with * sequences taken from chunks of sequences (name, chunk, bases) where these have them."""
+    found = sequences.whole(chunks, segments.where("sequence = '*'"))
+    both = segments.join(found.select("name", F.col("seq").alias("__s")), "name", "left")
     seq = F.when(F.col("sequence") == "*", F.coalesce("__s", F.lit("*"))).otherwise(F.col("sequence"))
     return both.withColumn("sequence", seq).withColumn("length", F.when(seq != "*", F.length(seq).cast("bigint")).otherwise(F.col("length"))).drop("__s").select(*segments.columns)
 

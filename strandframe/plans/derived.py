@@ -72,3 +72,16 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("bigint").alias("source"))
     out = rows.select("source", F.explode(F.array(F.col("source") + 1, F.col("source") + 3)).alias("sink"))
     return out.where(F.floor(F.col("source") / 10) == F.floor(F.col("sink") / 10)).join(rows.select(F.col("source").alias("sink")), "sink").select("source", "sink")
+
+
+#: Letters and the bases that stand for them in sequences made of documents.
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", ("acgt" * 7)[:26] * 2
+#: Common table expression: fa, a sequence for each document.
+FASTA = f"fa as (select doc_id, concat('d', doc_id) as name, translate(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g'), '{_LETTERS}', '{_BASES}') as seq from documents)"
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, name, seq: the letters of each document as bases."""
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "")
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return rows.select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.translate(letters, _LETTERS, _BASES).alias("seq"))

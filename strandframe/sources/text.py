@@ -71,18 +71,6 @@ def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return out
 
 
-def fasta_index(fasta: DataFrame) -> DataFrame:
-    """name, length."""
-    return fasta.select("name", F.length("seq").cast("bigint").alias("length"))
-
-
-def subsequence(fasta: DataFrame, regions: DataFrame) -> DataFrame:
-    """regions (name, start, end; other columns stay) with seq, half-open and cut at the sequence's end."""
-    both = regions.join(fasta.select("name", F.col("seq").alias("__seq")), "name")
-    n = F.greatest(F.col("end") - F.col("start"), F.lit(0)).cast("int")
-    return both.withColumn("seq", F.substring("__seq", (F.col("start") + 1).cast("int"), n)).drop("__seq")
-
-
 def prefix_headers(lines: DataFrame, prefix: str) -> DataFrame:
     """FASTA lines with prefix put before each record's name."""
     return lines.withColumn("value", F.regexp_replace("value", "^>", ">" + prefix.replace("\\", "\\\\").replace("$", "\\$")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import cigar
 from strandframe.operators import alignments as al
-from strandframe.operators import compose, graph, minimizers, partition
+from strandframe.operators import compose, graph, minimizers, partition, sequences
 from strandframe.sources import alignments as src
 from strandframe.sources import graphs, text
 
@@ -110,7 +110,7 @@ def test_graph(spark, tmp_path):
 def test_tables(spark, tmp_path):
     fa = text.read_fasta(spark, put(tmp_path, "a.fa", [">x one", "ACG", "TT", ">y", "GGG"]))
     assert sorted((r.name, r.description, r.seq) for r in fa.collect()) == [("x", "one", "ACGTT"), ("y", "", "GGG")]
-    cut = text.subsequence(fa, spark.createDataFrame([("x", 1, 3)], "name string, start long, end long")).first()
+    cut = sequences.windows(sequences.chunks_of(fa), spark.createDataFrame([("x", 1, 3)], "name string, start long, end long"), ["name"]).first()
     assert cut.seq == "CG"
     lens = text.read_lengths(spark, put(tmp_path, "l.tsv", ["a\t5", "b\t7\tz", "a\t6"]), "p_")
     assert sorted((r.name, r.length) for r in lens.collect()) == [("p_a", 6), ("p_b", 7)]

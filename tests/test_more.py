@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strandframe.functions import cigar, sql
-from strandframe.operators import validate
+from strandframe.operators import sequences, validate
 from strandframe.sources import sinks
 from strandframe.streaming import rowlocal
 
@@ -28,16 +28,17 @@ def test_identity(spark):
     fa = spark.createDataFrame([("q", A)], "name string, seq string")
     fwd, back = spark.createDataFrame([("t", A[:30] + "GG" + A[30:58])], "name string, seq string"), spark.createDataFrame([("t", rc)], "name string, seq string")
     good = paf(spark, "+", "20M2D10M", 10, 40, 10, 42)
-    assert tuple(validate.base_identity(good, fa, fwd, "row").first()) == (1, 30, 1.0)
+    chunks = sequences.chunks_of
+    assert tuple(validate.base_identity(good, chunks(fa), chunks(fwd), "row").first()) == (1, 30, 1.0)
     assert validate.wrong_spans(good).count() == 0 and validate.wrong_spans(paf(spark, "+", "20M", 10, 40, 10, 42)).count() == 1
-    assert tuple(validate.base_identity(paf(spark, "-", "20M", 5, 25, len(A) - 25, len(A) - 5), fa, back, "row").first()) == (1, 20, 1.0)
+    assert tuple(validate.base_identity(paf(spark, "-", "20M", 5, 25, len(A) - 25, len(A) - 5), chunks(fa), chunks(back), "row").first()) == (1, 20, 1.0)
     assert validate.wrong_lengths(good, fa.unionByName(fwd)).count() == 0
 
 
 def test_minimizers(spark):
     fa = spark.createDataFrame([("q", A), ("t", A[5:])], "name string, seq string")
-    hit = spark.createDataFrame([("q", "t", False, 5, 0, [4, 3], [4, 3], 6), ("q", "t", False, 5, 1, [4], [4], 6)], "query_name string, target_name string, is_reverse boolean, q_start long, t_start long, q_off array<int>, t_off array<int>, kmer long")
-    assert [r.t_start for r in validate.wrong_minimizers(hit, fa, fa).collect()] == [1]
+    hit = spark.createDataFrame([(1, "q", "t", False, 55, 5, 0, [4, 3], [4, 3], 6), (2, "q", "t", False, 55, 5, 1, [4], [4], 6)], "id int, query_name string, target_name string, is_reverse boolean, target_len long, q_start long, t_start long, q_off array<int>, t_off array<int>, kmer long")
+    assert [r.t_start for r in validate.wrong_minimizers(hit, sequences.chunks_of(fa), sequences.chunks_of(fa), "id").collect()] == [1]
 
 
 def test_sinks(spark):

@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from strandframe.plans import queries
+from strandframe.plans import queries, sequence_queries  # noqa: F401  it adds to the queries
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
