@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.functions.names import with_prefix
+from strandframe.functions.names import node_id, with_prefix
 from strandframe.operators import intervals, sequences
 from strandframe.operators.components import component_of
 from strandframe.scratch import Scratch
@@ -82,6 +82,16 @@ def split_graph(segments: DataFrame, edges: DataFrame, labels: DataFrame) -> tup
     return out, b.withColumn("contig", same).drop("__a", "__b")
 
 
+def split_lines(graph: DataFrame, labels: DataFrame) -> DataFrame:
+    """contig, file_ord, pos, value: the S and L lines of a graph (kind, t, value) with the contig of their nodes, for contig_files.write. A node without contig (labels: node_id, contig) and a link between two raise; other lines are left out."""
+    rows = graph.where("kind in ('S', 'L')").withColumns({"__a": node_id(F.col("t")[1]), "__b": F.when(F.col("kind") == "L", node_id(F.get("t", F.lit(3))))})
+    of = lambda c: labels.select(F.col("node_id").alias(c), F.col("contig").alias(f"{c}_contig"))
+    both = rows.join(of("__a"), "__a", "left").join(of("__b"), "__b", "left")
+    fine = F.col("__a_contig").isNotNull() & ((F.col("kind") == "S") | F.col("__a_contig").eqNullSafe(F.col("__b_contig")))
+    contig = F.when(fine, F.col("__a_contig")).otherwise(F.raise_error(F.concat(F.lit("not of one contig: "), F.substring("value", 1, 100))).cast("string"))
+    return both.select(contig.alias("contig"), "file_ord", "pos", "value")
+
+
 def stable_index(segments: DataFrame) -> DataFrame:
     """contig, n_start, n_end, node, node_id: segments on their stable contig; the first of several at one offset counts."""
     rows = segments.where("sn is not null and so is not null")

@@ -162,6 +162,27 @@ def rebase(paf: DataFrame) -> DataFrame:
     return paf.withColumns(new)
 
 
-def contig_names(routed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """contig, name: the queries routed to each contig and the names of its nodes (contig, name), once each."""
-    return routed.select("contig", F.col("query_name").alias("name")).unionByName(nodes.select("contig", "name")).distinct()
+def write_gate(routed: DataFrame, targets: DataFrame, visited: DataFrame | None = None, ambiguous: str | None = None) -> DataFrame:
+    """Routed rows that are written: those whose target (name, contig) belongs to the contig of their query's chunk, if that contig is visited (all are without visited), and all rows of the ambiguous contig.
+
+    A row of a query against itself goes where its query goes. A target without
+    contig raises, unless its row is ambiguous.
+    """
+    of = targets.select(F.col("name").alias("target_name"), F.col("contig").alias("__target"))
+    own = F.col("query_name") == F.col("target_name")
+    rows = routed.join(of, "target_name", "left").withColumn("__vague", F.col("contig") == F.lit(ambiguous) if ambiguous else F.lit(False))
+    if visited is not None:
+        chosen = visited.select("contig").distinct().withColumn("__visited", F.lit(True))
+        rows = rows.join(chosen, "contig", "left")
+    else:
+        rows = rows.withColumn("__visited", F.lit(True))
+    unknown = F.col("__target").isNull() & ~own & ~F.col("__vague")
+    same = F.when(unknown, F.raise_error(F.concat(F.lit("no contig of target "), F.col("target_name"))).cast("boolean")).otherwise(own | (F.col("__target") == F.col("contig")))
+    return rows.where(F.col("__vague") | (same & F.coalesce("__visited", F.lit(False)))).select(*routed.columns)
+
+
+def contig_names(written: DataFrame, targets: DataFrame) -> DataFrame:
+    """contig, rank, name, value: the names of the sequences of each contig, once each: first (rank 0) the queries of written rows, then (1) the targets (contig, name). Made for contig_files.write."""
+    queries = written.select("contig", F.lit(0).alias("rank"), F.col("query_name").alias("name"))
+    both = queries.unionByName(targets.select("contig", F.lit(1).alias("rank"), "name")).distinct()
+    return both.withColumn("value", F.col("name"))

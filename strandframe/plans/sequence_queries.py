@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.functions import cigar
-from strandframe.operators import sequences, validate
+from strandframe.operators import partition, sequences, validate
 from strandframe.plans import derived
 from strandframe.plans.queries import query
 from strandframe.scratch import Scratch
+from strandframe.sources import contig_files
 
 WITH = f"with {derived.FASTA}"
 
@@ -77,3 +78,29 @@ def minimizer_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chunks = _chunks(spark, sf_dir)
     return validate.wrong_minimizers(hits, chunks, chunks, "doc_id").select("doc_id", "wrong")
+
+
+_ROUTED = """with """ + derived.WITH[5:] + """, ch as (select query_name, 'k' || i as contig, i * 250000 as cs, (i + 1) * 250000 as ce from (select distinct query_name from aln), range(4) t(i)),
+    m as (select aln_id, count(*) as n, min(cs) as cs, min(ce) as ce, min(contig) as contig from aln join ch using (query_name) where query_start < ce and cs < query_end group by all),
+    g as (select contig, concat(query_name, ':', m.cs + 1, '-', m.ce) as query_name, query_start - m.cs as s, query_end - m.cs as e, strand, case when b = 1 then query_name else target_name end as target_name, aln_id
+        from aln join m using (aln_id) where n = 1 and (contig = 'k3' or (contig in ('k0', 'k1') and (b = 1 or contig = 'k' || cast(cast(substr(target_name, 2) as bigint) % 4 as varchar)))))
+    select contig, concat_ws(chr(9), query_name, 250000, s, e, strand, target_name, aln_id) as value from g"""
+
+
+@query(_ROUTED)
+def routed_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments routed by the chunk of their query, let through by the contig of their target, written to a file for each contig, and read back."""
+    paf = derived.alignments(spark, sf_dir)
+    i = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint")))
+    chunks = paf.select("query_name", "query_len").distinct().select("query_name", "query_len", i.alias("i"))
+    chunks = chunks.select("query_name", "query_len", F.concat(F.lit("k"), F.col("i").cast("string")).alias("contig"), (F.col("i") * 250000).alias("start"), ((F.col("i") + 1) * 250000).alias("end"))
+    targets = paf.select(F.col("target_name").alias("name")).distinct().withColumn("contig", F.concat(F.lit("k"), (F.substring("name", 2, 20).cast("bigint") % 4).cast("string")))
+    names = spark.createDataFrame([("k0",), ("k1",), ("k2",), ("k3",)], "contig string")
+    own = paf.withColumn("target_name", F.when(F.col("b") == 1, F.col("query_name")).otherwise(F.col("target_name")))
+    written = partition.write_gate(partition.route(own, chunks, "aln_id"), targets, names.where("contig in ('k0', 'k1')"), "k3")
+    rows = partition.rebase(written)
+    value = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("query_name", "query_len", "query_start", "query_end", "strand", "target_name", "aln_id")])
+    folder = Scratch(spark, "contigs").path("files")
+    contig_files.write(rows.select("contig", "aln_id", value.alias("value")), folder + "/by_", ".txt", ["aln_id"], names)
+    lines = spark.read.text(folder + "/by_*.txt")
+    return lines.select(F.regexp_extract(F.input_file_name(), r"by_([^/]*)\.txt", 1).alias("contig"), "value")
