@@ -43,6 +43,21 @@ def simhash_groups(texts, width, radius):
     return {d: groups.find(d) for d in fps}
 
 
+def shingle_groups(texts, width=5, least=0.8):
+    """doc_id to the smallest doc_id of its group: links are Jaccard similarities of distinct shingles of least or more."""
+    words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
+    sets = {d: {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for d, w in words.items()}
+    groups = Union()
+    for a in sets:
+        groups.find(a)
+        for b in sets:
+            if a < b:
+                both = len(sets[a] & sets[b])
+                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    groups.join(a, b)
+    return {d: groups.find(d) for d in sets}
+
+
 def contaminated(texts, items, width=5, least=0.8):
     """(doc_id, item_id) to the best similarity of any window of the item's size."""
     out = {}
