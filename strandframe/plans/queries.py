@@ -68,8 +68,7 @@ def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     select aln_id, tp = 'S' as secondary, concat('cigar: ', query_name, ' ', case when strand = '-' then query_end else query_start end, ' ', case when strand = '-' then query_start else query_end end, ' ', strand, ' ',
         target_name, ' ', target_start, ' ', target_end, ' + ', mapq, ' M ', a, ' I ', b, ' M ', c, ' D ', d, ' M ', e) as value from aln""")
 def paf_to_lastz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    main, second = al.to_lastz(derived.alignments(spark, sf_dir))
-    return main.select("aln_id", F.lit(False).alias("secondary"), "value").unionByName(second.select("aln_id", F.lit(True).alias("secondary"), "value"))
+    return al.to_lastz(derived.alignments(spark, sf_dir)).select("aln_id", "secondary", "value")
 
 
 @query(WITH + """
@@ -492,8 +491,7 @@ def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     select rows, cast(bases as bigint) as bases, rows_left, cast(bases_left as bigint) as bases_left, cast(bases - bases_left as bigint) as bases_lost from t""")
 def loss_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and query bases that a filter on mapq leaves and takes."""
-    paf = derived.alignments(spark, sf_dir)
-    return sinks.loss_totals(paf, paf.where("mapq >= 20"))
+    return sinks.loss_totals(derived.alignments(spark, sf_dir), F.col("mapq") >= 20)
 
 
 @query(WITH + """ select name, case when node_id % 2 = 0 then length else length + 1 end as length from seg where node_id % 2 = 0 or node_id % 3 = 0""")
@@ -514,3 +512,15 @@ def unassigned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = paf.where("mapq >= 20").groupBy("query_name").agg(F.min("query_start").alias("start"), F.min("query_end").alias("end"))
     lengths = paf.groupBy("query_name").agg(F.max("query_len").alias("length"))
     return partition.unassigned(chunks, lengths)
+
+
+@query(WITH + _flat(100) + _PIECES.format(least=20) + _OPS + """, win as (select p.*, p.s - a.query_start as ws, p.e - a.query_start as we from pieces p join aln a using (aln_id) where a.b = 3)
+    select w.aln_id, cast(sum(least(o.q1, w.we) - greatest(o.q0, w.ws)) as bigint) as bases from win w join ops o on w.aln_id = o.aln_id and o.op = 'M' and least(o.q1, w.we) > greatest(o.q0, w.ws) group by w.aln_id""")
+def fragment_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paired bases of masked alignments that these did not have before: those of rows that are moved by one base on purpose."""
+    paf = derived.alignments(spark, sf_dir)
+    bed = derived.masks(spark, sf_dir).withColumnRenamed("query_name", "name")
+    out = al.mask_queries(paf, bed, "aln_id", padding=100, least=20)
+    moved = F.when(F.col("b") == 3, 1).otherwise(0)
+    out = out.withColumns({"target_start": F.col("target_start") + moved, "target_end": F.col("target_end") + moved})
+    return al.foreign_pairs(paf, out, "aln_id").groupBy("aln_id").agg(F.sum(F.col("end") - F.col("start")).alias("bases"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandframe.functions.names import rounded
@@ -43,13 +45,23 @@ def run_totals(paf: DataFrame) -> DataFrame:
     )
 
 
-def loss_totals(before: DataFrame, after: DataFrame) -> DataFrame:
-    """rows, bases, rows_left, bases_left, bases_lost: query bases of alignments before and after a filter or mask."""
+def _totals(more: str = "", keep: Column | None = None) -> list[Column]:
     span = F.col("query_end") - F.col("query_start")
-    totals = lambda df, more: df.agg(F.count(F.lit(1)).alias("rows" + more), F.coalesce(F.sum(span), F.lit(0)).alias("bases" + more))
-    # one row each
-    both = totals(before, "").withColumn("__k", F.lit(0)).join(totals(after, "_left").withColumn("__k", F.lit(0)), "__k").drop("__k")
-    return both.withColumn("bases_lost", F.col("bases") - F.col("bases_left"))
+    one = (lambda c: c) if keep is None else (lambda c: F.when(keep, c))
+    return [F.count(one(F.lit(1))).alias("rows" + more), F.coalesce(F.sum(one(span)), F.lit(0)).alias("bases" + more)]
+
+
+def loss_totals(paf: DataFrame, keep: Column) -> DataFrame:
+    """rows, bases, rows_left, bases_left, bases_lost: query bases of alignments before and after a filter, in one pass."""
+    return paf.agg(*_totals(), *_totals("_left", keep)).withColumn("bases_lost", F.col("bases") - F.col("bases_left"))
+
+
+def observed_losses(paf: DataFrame, step: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], None]) -> dict[str, int]:
+    """Write what step (a filter or a mask) makes of paf, and return loss_totals' figures, which are counted while the rows pass by."""
+    before, after = Observation(), Observation()
+    write(step(paf.observe(before, *_totals())).observe(after, *_totals()))
+    found, left = before.get, after.get
+    return {"rows": found["rows"], "bases": found["bases"], "rows_left": left["rows"], "bases_left": left["bases"], "bases_lost": found["bases"] - left["bases"]}
 
 
 def fasta_lines(fasta: DataFrame, width: int = 0) -> DataFrame:

@@ -26,9 +26,9 @@ GAF = ["g1\t30\t0\t25\t+\t>a:0-10<b\t20\t0\t20\t22\t25\t60\ttp:A:P\tcg:Z:10M5I3D
 def test_paf(spark, tmp_path):
     paf = src.read_paf(spark, put(tmp_path, "a.paf", PAF))
     assert [r.value for r in paf.orderBy(*text.ORDER).collect()] == PAF
-    first, second = al.to_lastz(paf)
-    assert first.first().value == "cigar: q1 0 20 + t1 5 23 + 7 M 10 I 2 M 8"
-    assert second.first().value == "cigar: q1 60 50 - t1 30 42 + 255 M 4 D 2 M 6"
+    lines = {r.secondary: r.value for r in al.to_lastz(paf).collect()}
+    assert lines[False] == "cigar: q1 0 20 + t1 5 23 + 7 M 10 I 2 M 8"
+    assert lines[True] == "cigar: q1 60 50 - t1 30 42 + 255 M 4 D 2 M 6"
     shown = [r.v for r in paf.orderBy(*text.ORDER).select(src.paf_line().alias("v")).collect()]
     assert shown[0] == PAF[0].replace("tp:A:P\tcg:Z:10M2I8M\tAS:i:7", "AS:i:7\tcg:Z:10M2I8M\ttp:A:P")
     s = al.coverage_summary(paf).first()
@@ -42,6 +42,8 @@ def test_mask(spark, tmp_path):
     bed = spark.createDataFrame([("q", 20, 31), ("q", 60, 71)], "name string, start long, end long")
     got = sorted((r.query_start, r.query_end, r.target_start) for r in al.mask_queries(paf, bed, "row", 0, 1).collect())
     assert got == [(0, 20, 0), (31, 60, 31), (71, 100, 71)]
+    lines = sorted(r.value for r in al.mask_queries(paf, bed, "row", 0, 1).collect())
+    assert lines[0] == "q\t200\t0\t20\t+\tt\t200\t0\t20\t20\t20\t60\tcg:Z:20M"
     assert len(al.mask_queries(paf, bed, "row", 100, 1).collect()) == 2
 
 

@@ -77,9 +77,11 @@ def test_parents_from_splits_before(spark):
 
 def test_totals_and_fasta(spark):
     before = spark.createDataFrame([("a", 0, 10), ("b", 5, 9)], "query_name string, query_start long, query_end long")
-    r = sinks.loss_totals(before, before.where("query_name = 'a'")).first()
+    r = sinks.loss_totals(before, F.col("query_name") == "a").first()
     assert (r["rows"], r.bases, r.rows_left, r.bases_left, r.bases_lost) == (2, 14, 1, 10, 4)
-    assert sinks.loss_totals(before.limit(0), before.limit(0)).first().bases_lost == 0
+    assert sinks.loss_totals(before.limit(0), F.lit(True)).first().bases_lost == 0
+    out = []
+    assert sinks.observed_losses(before, lambda df: df.where("query_name = 'a'"), lambda df: out.extend(df.collect())) == r.asDict() and len(out) == 1
     fasta = spark.createDataFrame([("n", "d e", "ACGTACGTA"), ("m", "", "ACGT"), ("z", None, None)], "name string, description string, seq string")
     got = {r.name: r.value for r in sinks.fasta_lines(fasta, 4).collect()}
     assert got == {"n": ">n d e\nACGT\nACGT\nA", "m": ">m\nACGT", "z": ">z\n"}
