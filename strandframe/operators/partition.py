@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.names import make_subpath, parse_subpath, step
-from strandframe.operators import intervals
+from strandframe.operators import intervals, scan, skew
+from strandframe.scratch import Scratch
 
 
 def contig_coverage(paf: DataFrame, contig: str = "contig", matches: Column | None = None, gap: int = 0) -> DataFrame:
@@ -52,85 +52,90 @@ def rescue(assigned: DataFrame, queries: DataFrame, contigs: DataFrame, referenc
     return assigned.unionByName(out)
 
 
-def _smooth(runs: list[dict], length: int, masked: int, least: float, chunk: int, softclip: bool) -> list[dict]:
-    """Chunks of one query from its runs (contig, start, end, cover) in order of start; none if the best contig covers too little."""
-    cover: dict[str, int] = {}
-    for r in runs:
-        cover[r["contig"]] = cover.get(r["contig"], 0) + r["cover"]
-    best = min(cover, key=lambda c: (-cover[c], c))
-    kept, clipped = [], 0
-    for i, r in enumerate(runs):
-        if r["contig"] == best:
-            kept.append(r | {"clip": False})
-            continue
-        # a run of another contig is cut out if it is long and dense enough; ends of the query belong to it
-        start, end = (0 if i == 0 else r["start"]), (length if i == len(runs) - 1 else r["end"])
-        if r["end"] - r["start"] > chunk and r["cover"] / max(1, end - start) >= least:
-            kept.append({"contig": r["contig"], "start": start, "end": end, "cover": r["cover"], "clip": True})
-            clipped += end - start
-    fused: list[dict] = []
-    for r in kept:
-        if fused and not r["clip"] and not fused[-1]["clip"] and r["start"] - fused[-1]["end"] < chunk:
-            fused[-1] |= {"end": max(r["end"], fused[-1]["end"]), "cover": r["cover"] + fused[-1]["cover"]}
-        else:
-            fused.append(dict(r))
-    top, out = cover[best], []
-    for r in fused:
-        if r["clip"] or r["end"] - r["start"] > min(chunk, int(length * least)):
-            out.append(r)
-        else:
-            top -= r["cover"]
-    if not out:
-        return []
-    soft = 0
-    for side, first in (("start", True), ("end", False)):
-        r = out[0] if first else out[-1]
-        rest = r["start"] if first else length - r["end"]
-        if r["clip"] or not softclip or rest <= chunk:
-            r[side] = 0 if first else length
-        else:
-            soft += rest
-    for a, b in zip(out, out[1:], strict=False):
-        # pieces of the best contig reach to their neighbours
-        if not b["clip"] and (a["clip"] or b["start"] > a["end"]):
-            b["start"] = a["end"]
-        elif not a["clip"]:
-            a["end"] = b["start"]
-    merged = [out[0]]
-    for r in out[1:]:
-        if r["contig"] == merged[-1]["contig"] and r["start"] <= merged[-1]["end"]:
-            merged[-1]["end"] = max(r["end"], merged[-1]["end"])
-        else:
-            merged.append(r)
-    whole = max(length - max(masked, soft) - clipped, top)
-    return merged if whole > 0 and top / whole > least else []
-
-
-CHUNKS = "query_name string, query_len bigint, contig string, start bigint, end bigint"
+_ORDER = ["query_name", "start", "end", "contig"]
 
 
 def smooth_chunks(coverage: DataFrame, masked: DataFrame | None = None, thresholds: list[tuple[int, float]] | None = None, last: float = 0.0, chunk: int = 100_000, softclip: bool = False) -> DataFrame:
     """query_name, query_len, contig, start, end: chunks of each query that can be assigned.
 
-    Runs that a strictly longer run of any contig overlaps are dropped first.
-    The rest of a query, a short list, is then smoothed in eight dependent
-    passes, one group of rows for each query.
+    coverage has runs (query_name, query_len, contig, start, end, cover), of
+    which those that a strictly longer one of their query overlaps are dropped
+    first. The contig that covers most is the query's own; a run of another
+    one is cut out if it is longer than chunk and dense enough (the least share
+    is by query length, see names.step). Own runs less than chunk apart become
+    one, and short ones are left out. The ends of the query belong to its first
+    and last piece, unless softclip lets long ends be; own pieces reach to
+    their neighbours, and equal neighbours become one. A query whose own
+    contig covers too little of what is neither masked, soft nor cut out has
+    no chunks.
+
+    Each step looks at a row's neighbours in order, by scans that cut a query
+    with many runs into ranges.
     """
-    runs = intervals.drop_shorter(coverage, ["query_name"])
-    runs = runs.withColumn("least", step(F.col("query_len"), thresholds or [], last))
+    runs = intervals.drop_shorter(coverage.select("query_name", "query_len", "contig", "start", "end", "cover"), ["query_name"])
+    runs = Scratch(coverage.sparkSession, "smooth").save(runs, "runs")
+    by_contig = runs.groupBy("query_name", "contig").agg(F.sum("cover").alias("cover"))
+    own = by_contig.groupBy("query_name").agg(F.min(F.struct((-F.col("cover")).alias("c"), "contig")).alias("best"))
+    at = F.struct("start", "end", "contig")
+    ends = runs.groupBy("query_name").agg(F.min(at).alias("first"), F.max(at).alias("final"), F.max("query_len").alias("__len"))
+    queries = ends.join(own.select("query_name", F.col("best.contig").alias("best"), (-F.col("best.c")).alias("top")), "query_name")
+    queries = queries.withColumn("least", step(F.col("__len"), thresholds or [], last))
     if masked is not None:
-        runs = runs.join(masked.select(F.col("name").alias("query_name"), "masked"), "query_name", "left")
+        queries = queries.join(masked.groupBy(F.col("name").alias("query_name")).agg(F.max("masked").alias("masked")), "query_name", "left")
     else:
-        runs = runs.withColumn("masked", F.lit(0).cast("bigint"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["start", "end", "contig"]).to_dict("records")
-        r = rows[0]
-        hidden = 0 if r["masked"] is None or pd.isna(r["masked"]) or r["masked"] >= r["query_len"] / 2 else int(r["masked"])
-        found = _smooth(rows, int(r["query_len"]), hidden, r["least"], chunk, softclip)
-        return pd.DataFrame([(r["query_name"], int(r["query_len"]), x["contig"], int(x["start"]), int(x["end"])) for x in found], columns=["query_name", "query_len", "contig", "start", "end"])
+        queries = queries.withColumn("masked", F.lit(0).cast("bigint"))
+    hidden = F.when(F.col("masked").isNull() | (F.col("masked") >= F.col("__len") / 2), 0).otherwise(F.col("masked"))
+    queries = Scratch(coverage.sparkSession, "smooth").save(queries.withColumn("masked", hidden.cast("bigint")), "queries")
+
+    # runs of other contigs that are cut out
+    rows = skew.lookup(runs, queries.select("query_name", "first", "final", "best", "least"), ["query_name"])
+    mine = F.col("contig") == F.col("best")
+    start, end = F.when(at == F.col("first"), 0).otherwise(F.col("start")), F.when(at == F.col("final"), F.col("query_len")).otherwise(F.col("end"))
+    dense = (F.col("end") - F.col("start") > chunk) & (F.col("cover") / F.greatest(end - start, F.lit(1)) >= F.col("least"))
+    kept = rows.where(mine | dense).select(
+        "query_name", "query_len", "contig", F.when(mine, F.col("start")).otherwise(start).alias("start"), F.when(mine, F.col("end")).otherwise(end).alias("end"), "cover", (~mine).alias("clip"), "least"
+    )
 
-    return runs.groupBy("query_name").applyInPandas(run, CHUNKS)
+    # own runs that are near each other
+    kept = scan.beside(scan.laid_out(kept, _ORDER), _ORDER, ["query_name", "end", "clip"], "p")
+    goes_on = (F.col("p.query_name") == F.col("query_name")) & ~F.col("clip") & ~F.col("p.clip") & (F.col("start") - F.col("p.end") < chunk)
+    kept = scan.carried(kept, _ORDER, F.when(~F.coalesce(goes_on, F.lit(False)), F.struct(*_ORDER)), "island")
+    fused = kept.groupBy("query_name", "island").agg(
+        F.max("query_len").alias("query_len"), F.min("contig").alias("contig"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("cover").alias("cover"), F.first("clip").alias("clip"), F.first("least").alias("least")
+    )
+    fine = F.col("clip") | (F.col("end") - F.col("start") > F.least(F.lit(chunk).cast("bigint"), (F.col("query_len") * F.col("least")).cast("bigint")))
+    fused = Scratch(coverage.sparkSession, "smooth").save(fused.withColumn("fine", fine), "fused")
+    some = fused.where("fine")
+    ends = some.groupBy("query_name").agg(F.min(at).alias("first"), F.max(at).alias("final"), F.min(F.struct("start", "end", "contig", "clip")).alias("f"), F.max(F.struct("start", "end", "contig", "clip")).alias("l"))
+    lost = fused.groupBy("query_name").agg(F.coalesce(F.sum(F.when(~F.col("fine"), F.col("cover"))), F.lit(0)).alias("lost"), F.coalesce(F.sum(F.when(F.col("clip"), F.col("end") - F.col("start"))), F.lit(0)).alias("clipped"))
+
+    # whether enough is covered, and the ends
+    free = lambda side, rest: F.lit(softclip) & ~F.col(f"{side}.clip") & (rest > chunk)
+    before, after = F.col("f.start"), F.col("__len") - F.col("l.end")
+    judged = queries.drop("first", "final").join(ends, "query_name").join(lost, "query_name")
+    judged = judged.withColumns({"free_start": free("f", before), "free_end": free("l", after), "top": F.col("top") - F.col("lost")})
+    soft = F.when(F.col("free_start"), before).otherwise(0) + F.when(F.col("free_end"), after).otherwise(0)
+    whole = F.greatest(F.col("__len") - F.greatest("masked", soft) - F.col("clipped"), "top")
+    judged = judged.where((whole > 0) & (F.col("top") / whole > F.col("least")))
+    some = skew.lookup(some.select("query_name", "query_len", "contig", "start", "end", "clip"), judged.select("query_name", "first", "final", "free_start", "free_end"), ["query_name"])
+    start = F.when((at == F.col("first")) & ~F.col("free_start"), 0).otherwise(F.col("start"))
+    end = F.when((at == F.col("final")) & ~F.col("free_end"), F.col("query_len")).otherwise(F.col("end"))
+    some = some.select("query_name", "query_len", "contig", start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), "clip")
+
+    # own pieces reach to their neighbours
+    some = scan.laid_out(some, _ORDER)
+    some = scan.beside(scan.beside(some, _ORDER, ["query_name", "start", "end", "clip"], "p"), _ORDER, ["query_name", "start", "clip"], "n", ahead=True)
+    same = lambda side: F.coalesce(F.col(f"{side}.query_name") == F.col("query_name"), F.lit(False))
+    pulled = same("p") & ~F.col("clip") & (F.col("p.clip") | (F.col("start") > F.col("p.end")))
+    next_pulled = ~F.col("n.clip") & (F.col("clip") | (F.col("n.start") > F.col("end")))
+    some = some.withColumns({
+        "s": F.when(pulled, F.col("p.end")).otherwise(F.col("start")), "e": F.when(same("n") & ~next_pulled & ~F.col("clip"), F.col("n.start")).otherwise(F.col("end")),
+    })
+    some = scan.beside(some.drop("p", "n"), _ORDER, ["query_name", "contig", "e"], "p")
+    goes_on = same("p") & (F.col("p.contig") == F.col("contig")) & (F.col("s") <= F.col("p.e"))
+    some = scan.carried(some, _ORDER, F.when(~goes_on, F.struct(*_ORDER)), "island")
+    out = some.groupBy("query_name", "island").agg(F.max("query_len").alias("query_len"), F.min("contig").alias("contig"), F.min("s").alias("start"), F.max("e").alias("end"))
+    return out.select("query_name", "query_len", "contig", "start", "end")
 
 
 def unassigned(chunks: DataFrame, lengths: DataFrame, label: str = "ambiguous") -> DataFrame:

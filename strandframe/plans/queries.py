@@ -296,7 +296,23 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.smooth_chunks(_coverage(spark, sf_dir), None, [], 0.001, 2000)
 
 
-@query()
+@query(WITH + _COVER + """, runs as (select c.* from cover c where not exists (select 1 from cover d where d.query_name = c.query_name and d.s < c.e and c.s < d.e and d.e - d.s > c.e - c.s)),
+    best as (select query_name, first(contig order by c desc, contig) as best, max(c) as top from (select query_name, contig, sum(cover) as c from runs group by all) group by all),
+    r1 as (select r.*, best, top, row_number() over w as k, count(*) over (partition by query_name) as n from runs r join best using (query_name) window w as (partition by query_name order by s, e, contig)),
+    r2 as (select *, contig <> best as clip, case when contig <> best and k = 1 then 0 else s end as s2, case when contig <> best and k = n then 1000000 else e end as e2 from r1),
+    kept as (select query_name, contig, s2 as s, e2 as e, cover, clip, top from r2 where not clip or (e - s > 2000 and cover / greatest(1, e2 - s2)::double >= 0.001)),
+    isl as (select *, sum(nw) over (partition by query_name order by s, e, contig) as g from (
+        select *, case when not clip and not lag(clip) over w and s - lag(e) over w < 2000 then 0 else 1 end as nw from kept window w as (partition by query_name order by s, e, contig))),
+    fus as (select query_name, g, min(contig) as contig, min(s) as s, max(e) as e, sum(cover) as cover, bool_or(clip) as clip, max(top) as top from isl group by query_name, g),
+    fin as (select *, clip or e - s > 1000 as fine from fus),
+    adj as (select query_name, max(top) - coalesce(sum(cover) filter (not fine), 0) as top, coalesce(sum(e - s) filter (clip), 0) as clipped from fin group by query_name),
+    o1 as (select query_name, contig, clip, case when lag(s) over w is null then 0 else s end as s, case when lead(s) over w is null then 1000000 else e end as e from fin where fine window w as (partition by query_name order by s, e, contig)),
+    o2 as (select *, lag(clip) over w as pc, lag(e) over w as pe, lead(clip) over w as nc, lead(s) over w as ns from o1 window w as (partition by query_name order by s, e, contig)),
+    o3 as (select query_name, contig, s as o, case when not clip and (pc or s > pe) then pe else s end as s, case when ns is not null and not (not nc and (clip or ns > e)) and not clip then ns else e end as e from o2),
+    o4 as (select *, sum(nw) over (partition by query_name order by o, e, contig) as g from (
+        select *, case when lag(contig) over w = contig and s <= lag(e) over w then 0 else 1 end as nw from o3 window w as (partition by query_name order by o, e, contig)))
+    select query_name, cast(1000000 as bigint) as query_len, min(contig) as contig, cast(min(s) as bigint) as start, cast(max(e) as bigint) as "end" from o4 join adj using (query_name)
+    where greatest(1000000 - clipped, top) > 0 and top / greatest(1000000 - clipped, top)::double > 0.001 group by query_name, g""")
 def smooth_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir)
 
