@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions.names import node_id, with_prefix
-from strandframe.operators import intervals, sequences
+from strandframe.operators import intervals, scan, sequences
 from strandframe.operators.components import component_of
 from strandframe.scratch import Scratch
 
@@ -154,17 +154,24 @@ def rgfa_to_paf(segments: DataFrame, lengths: DataFrame | None = None, max_rank:
     )
 
 
-def assembly_stats(lengths: DataFrame) -> DataFrame:
-    """n, total, n50, n90, l50, l90 of column length, from the longest down.
+def assembly_stats(segments: DataFrame) -> DataFrame:
+    """n, total, n50, n90, l50, l90 of column length: the length at which the longest sequences together reach 50 and 90 % of all bases, and how many these are.
 
-    Lengths are counted first, and summed by classes of magnitude before a
-    running sum, so the window holds distinct lengths only.
+    Equal lengths are counted first; running sums go by ranges of lengths, each
+    from the sums of the ranges of longer ones.
     """
-    counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("c"))
-    down = Window.orderBy(F.desc("length"))
-    run = counts.select("length", "c", F.sum(F.col("c") * F.col("length")).over(down).alias("s"), F.sum("c").over(down).alias("k"))
-    every = Window.partitionBy(F.lit(0))
-    run = run.withColumn("total", F.max("s").over(every)).withColumn("n", F.max("k").over(every))
+    counts = segments.where("length is not null").groupBy("length").agg(F.count(F.lit(1)).alias("c")).withColumn("__o", -F.col("length"))
+    laid = scan.laid_out(counts, ["__o"])
+    down = Window.partitionBy("__part").orderBy("__o").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = F.col("c") * F.col("length")
+    # one row for each range
+    sizes = laid.groupBy("__part").agg(F.sum(bases).alias("s"), F.sum("c").alias("k"))
+    every = before.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0).cast("bigint")
+    sizes = sizes.select("__part", F.coalesce(F.sum("s").over(before), zero).alias("s0"), F.coalesce(F.sum("k").over(before), zero).alias("k0"), F.sum("s").over(every).alias("total"), F.sum("k").over(every).alias("n"))
+    run = laid.join(F.broadcast(sizes), "__part")
+    run = run.select("length", "c", (F.sum(bases).over(down) + F.col("s0")).alias("s"), (F.sum("c").over(down) + F.col("k0")).alias("k"), "total", "n")
 
     def at(share: float):
         ok = F.col("s") >= F.col("total") * share

@@ -7,8 +7,10 @@ sorts lines as they stand in the files: pos is the line's true offset in bytes
 (of the unpacked text for .gz). Paths may be local or of any file system that
 Arrow opens, globs are expanded, and several are separated by commas.
 
-Options: split (bytes of a range), and strict (default true): lines that don't
-fit their format raise, rather than being left out.
+Options: split (bytes of a range), strict (default true): lines that don't fit
+their format raise, rather than being left out, and, for gfa, kinds: the kinds
+of lines to read, all if it isn't given. Kinds are no pushed filter, as Spark
+4.1 keeps one set of pushed filters for all places of a table in a query.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SPLIT = 64 << 20
 _BLOCK = 4 << 20
@@ -160,19 +162,10 @@ class _Reader(DataSourceReader):
         self.strict = options.get("strict", "true").lower() == "true"
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.names = list(schema.names)
-        self.kinds: set[str] | None = None
+        self.kinds = set(options["kinds"]) if options.get("kinds") else None
         if not self.paths:
             raise ValueError("no path")
 
-    def pushFilters(self, filters: list[Filter]):
-        """Kinds of graph lines are chosen while reading."""
-        for f in filters:
-            chosen = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
-            if self.kind == "gfa" and f.attribute == ("kind",) and chosen is not None:
-                self.kinds = chosen if self.kinds is None else self.kinds & chosen
-            else:
-                yield f
-
     def partitions(self) -> list[Range]:
         return ranges(self.paths, self.split)
 
@@ -330,7 +323,6 @@ def _source(kind: str) -> type[DataSource]:
 
 
 def register(spark: SparkSession) -> None:
-    """Make the formats known to a session, and let it push kinds of graph lines down to their reader."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the formats known to a session."""
     for kind in SCHEMAS:
         spark.dataSource.register(_source(kind))

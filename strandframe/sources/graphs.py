@@ -111,7 +111,7 @@ def gaps(graph: DataFrame) -> DataFrame:
 def fragments(graph: DataFrame) -> DataFrame:
     big = lambda i: F.regexp_replace(_at(i), r"\$$", "").try_cast("bigint")
     return graph.where("kind = 'F'").select(
-        *ORDER, _at(1).alias("id"), F.regexp_replace(_at(2), "[+-]$", "").alias("ref"), ~_at(2).endswith("-").alias("forward"),
+        *ORDER, _at(1).alias("id"), F.regexp_replace(_at(2), "[+-]$", "").alias("ref"), (~_at(2).endswith("-")).alias("forward"),
         big(3).alias("seg_begin"), big(4).alias("seg_end"), big(5).alias("frag_begin"), big(6).alias("frag_end"), _at(7).alias("alignment"), _rest(8).alias("tags"),
     )
 
