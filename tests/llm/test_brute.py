@@ -1,5 +1,6 @@
 """Operators and the pipeline against brute force over the smallest tables, planted cases and held-out labels."""
 
+import math
 import os
 import random
 import zlib
@@ -238,6 +239,29 @@ def test_mixing(docs, texts):
     assert {r.doc_id: r.taken for r in got} == {r.doc_id: r.taken for r in again}
 
 
+def test_mixing_is_near(spark):
+    """The largest documents are settled before the small ones, at few and at many documents of a source: the words taken miss the target by less than a median document."""
+    rnd = random.Random(5)
+    for per_source in (50, 700):
+        rows = [(i, f"s{i % 4}", " ".join("w" * math.ceil(rnd.lognormvariate(3.5, 1.3)))) for i in range(4 * per_source)]
+        df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+        got = mixing.op2_query(df).collect()
+        for source in ("s0", "s1", "s2", "s3"):
+            mine = [r for r in got if r.source == source]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) < np.median([r.size for r in mine])
+            assert all(r.taken in (r.size * math.floor(r.target / r.source_size), r.size * math.ceil(r.target / r.source_size)) for r in mine)
+
+
+def test_mixing_is_fair_to_large_documents(spark):
+    """A document that holds a fifth of its source's words is drawn as often as its probability says."""
+    rows = [(i, "s" if i < 30 else "t", " ".join("w" * (60 if i % 30 == 0 else 1 + i % 19))) for i in range(60)]
+    units = spark.createDataFrame([(s, 100 * seed + i, 1000 * seed + i, len(t.split()), 0.3) for seed in range(400) for i, s, t in [(i, f"{s}{seed}", t) for i, s, t in rows if s == "s"]], "source string, id long, h long, w long, p double")
+    got = {r.id: r.extra for r in mixing.round_copies(units, 30, Scratch(spark, "t")).collect()}
+    large = np.mean([got[100 * seed] for seed in range(400)])
+    small = np.mean([[got[100 * seed + i] for i in range(1, 30)] for seed in range(400)], axis=0)
+    assert len(got) == 12_000 and abs(large - 0.3) < 0.08 and np.abs(small - 0.3).max() < 0.1
+
+
 def test_mixing_is_fair(spark):
     """Over many draws, a document is taken as often as its source's ratio says."""
     rows = [(i, "s" if i < 40 else "t", " ".join("w" * (1 + i % 7))) for i in range(80)]
