@@ -6,7 +6,9 @@ of the popcount grid. A longer SimHash, of the distinct five-word shingles,
 then tells how similar two texts in a cell seem. Texts that surely are near form
 groups first; then each is held against the nearest of those that may be, and
 what is apart still is joined where it seems similar. All these edges are
-verified exactly on the shingles of both texts.
+verified exactly on the shingles of both texts. Where some fail, every pair in
+a cell that seems similar and still lies in two groups is verified too, so that
+the order in which pairs are looked at loses no link.
 """
 
 from __future__ import annotations
@@ -34,8 +36,12 @@ SKETCH_LONGS, SURE, REACH = 8, 0.11, 0.18
 CELL_ROWS, FEW = 1024, 128
 #: Rows of an Arrow batch of texts, and of one of cells.
 TEXT_ROWS, GROUP_ROWS = 500, 2000
-#: Texts of other groups in a cell that a text is held against, the nearest, beside those that connect what is apart.
+#: Texts of other groups in a cell that a text is held against first, the nearest, beside those that connect what is apart; the rest follows where groups stay apart.
 NEAREST = 3
+#: Pairs between two groups that are verified at once, of those left; each time so many times more, until none is left.
+AT_ONCE = 8
+#: Pairs that a task hands on at once.
+_PAIRS = 1 << 17
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -128,19 +134,29 @@ def _longs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint64)
 
 
-def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (a, b) between the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
+def _in_cells(texts: DataFrame, by: list[str]) -> DataFrame:
+    """texts (key, fp, sketch and more) in each of their cells: columns part and cell."""
     n = texts.count()
     tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000))
     cells = texts.repartition(tasks, "key").withColumn("counts", segment_counts(F.col("fp")))
-    cells = cells.select("key", "fp", "sketch", F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select("key", "fp", "sketch", "c.*")
-    sizes = scratch.save(cells.groupBy("part", "cell").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")).where("blocks > 1"), "large")
-    dealt = cells.join(small(sizes.select("part", "cell", "blocks")), ["part", "cell"], "left")
+    return cells.select(*by, F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select(*by, "c.*")
+
+
+def _dealt(cells: DataFrame, sizes: DataFrame, by: list[str], members: list[str], how: str) -> DataFrame:
+    """m, a list of members, for each pair of blocks of each cell; sizes has the number of blocks, one if it is not there."""
+    dealt = cells.join(small(sizes.select(*by, "blocks")), by, how)
     dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.lit(0)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
     # lists are made behind the shuffle alone: before it, they would hold rows in memory and fold none
-    dealt = dealt.select("part", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "fp", "sketch").repartition("part", "cell", "i", "j")
-    groups = dealt.groupBy("part", "cell", "i", "j").agg(F.collect_list(F.struct("key", "fp", "sketch")).alias("m")).where(F.size("m") > 1)
+    dealt = dealt.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *members).repartition(*by, "i", "j")
+    return dealt.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*members)).alias("m")).where(F.size("m") > 1).select("m")
+
+
+def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Edges (a, b) between the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
+    cells = _in_cells(texts, ["key", "fp", "sketch"])
+    sizes = scratch.save(cells.groupBy("part", "cell").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")).where("blocks > 1"), "large")
+    groups = _dealt(cells, sizes, ["part", "cell"], ["key", "fp", "sketch"], "left")
 
     def compare(batches):
         for batch in batches:
@@ -158,7 +174,74 @@ def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -
                     edges += _spanning(keys[lo : lo + size], fps[lo : lo + size], sketches[lo : lo + size])
             yield pa.RecordBatch.from_arrays([pa.array([pick(e) for e in edges], pa.int64()) for pick in (min, max)], ["a", "b"])
 
-    return groups.select("m").mapInArrow(compare, "a long, b long").distinct()
+    return groups.mapInArrow(compare, "a long, b long").distinct()
+
+
+def untried(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """All pairs (a, b) that meet in a cell and seem similar, but are neither among edges, those of candidates, nor in one of groups (node, component).
+
+    The edges of a cell connect all in it that seem similar. So such a pair lies
+    in one component of edges, in which some edge has failed and not all pairs
+    are edges; other texts are left out.
+    """
+    seeming = connected_components(edges, scratch).withColumnRenamed("component", "within")
+    at = seeming.join(groups, "node", "left").select(F.col("node").alias("key"), "within", F.coalesce("component", "node").alias("group"))
+    at = scratch.save(at, "seeming")
+    sizes = at.groupBy("within").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    tried = edges.join(at.select(F.col("key").alias("a"), "within"), "a").groupBy("within").agg(F.count(F.lit(1)).alias("tried"))
+    some = sizes.join(tried, "within").where(F.col("tried") * 2 < F.col("n") * (F.col("n") - 1)).select("within")
+    open_ = scratch.save(texts.join(at.join(some, "within", "left_semi"), "key"), "open")
+    by, members = ["part", "cell", "within"], ["key", "fp", "sketch", "group", "block"]
+    cells = _in_cells(open_, ["key", "fp", "sketch", "group", "within"])
+    blocks = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
+    blocks = scratch.save(blocks.select(*by, F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks")), "blocks")
+
+    def pairs(found):
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def compare(batches):
+        for batch in batches:
+            flat, sizes = batch.column("m").flatten(), batch.column("m").value_lengths().to_numpy()
+            keys, group, block = (flat.field(c).to_numpy() for c in ("key", "group", "block"))
+            fps, sketches = flat.field("fp").to_numpy().view(np.uint64), _longs(flat.field("sketch")).reshape(len(keys), SKETCH_LONGS)
+            found, n = [], 0
+            for lo, hi in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
+                # pairs within a block are those of the block with itself
+                two = block[lo:hi].min() != block[lo:hi].max()
+                for i in range(lo, hi - 1):
+                    others = (group[i + 1 : hi] != group[i]) & (np.bitwise_count(fps[i + 1 : hi] ^ fps[i]) <= NEAR)
+                    others = np.flatnonzero(others & (block[i + 1 : hi] != block[i]) if two else others) + i + 1
+                    others = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1) <= REACH * 64 * SKETCH_LONGS]
+                    if len(others):
+                        found.append((np.full(len(others), keys[i]), keys[others]))
+                        n += len(others)
+                    if n > _PAIRS:
+                        yield pairs(found)
+                        found, n = [], 0
+            yield pairs(found)
+
+    return _dealt(cells, blocks, by, members, "inner").mapInArrow(compare, "a long, b long").distinct().join(edges, ["a", "b"], "left_anti")
+
+
+def verified_rest(rest: DataFrame, links: DataFrame, groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """groups (node, component) of links and of all pairs of rest (a, b) that are similar enough. A pair is only verified while its texts are in two groups; some pairs of two groups go first."""
+    most = AT_ONCE
+    while True:
+        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}"))  # noqa: B023, E731
+        at = rest.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ga": F.coalesce("ga", "a"), "gb": F.coalesce("gb", "b")})
+        at = at.where("ga <> gb").select("a", "b", F.least("ga", "gb").alias("lo"), F.greatest("ga", "gb").alias("hi"))
+        at = scratch.save(at, "apart")
+        if at.isEmpty():
+            return groups
+        turns = at.groupBy("lo", "hi").agg(F.ceil(F.count(F.lit(1)) / most).alias("turns"))
+        at = at.join(turns, ["lo", "hi"]).select("a", "b", (F.pmod(F.xxhash64("a", "b"), F.col("turns")) == 0).alias("now"))
+        at = scratch.save(at, "turns")
+        more = scratch.save(verified(at.where("now").select("a", "b"), texts, scratch), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            groups = connected_components(links, scratch)
+        rest, most = at.where("not now"), most * AT_ONCE
 
 
 def verified(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
@@ -216,7 +299,11 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     wanted = rows.select("key", "doc_id", "text").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     with arrow_rows(docs, TEXT_ROWS):
         links = scratch.save(verified(edges, wanted, scratch), "links")
-    found = connected_components(links, scratch).withColumnRenamed("node", "key")
+    found = connected_components(links, scratch)
+    with arrow_rows(docs, GROUP_ROWS):
+        rest = scratch.save(untried(texts.select("key", "fp", "sketch"), edges, found, scratch), "rest")
+    with arrow_rows(docs, TEXT_ROWS):
+        found = verified_rest(rest, links, found, wanted, scratch).withColumnRenamed("node", "key")
     return texts.select("key", "first").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 

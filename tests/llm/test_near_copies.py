@@ -58,6 +58,34 @@ def test_large_groups(spark, monkeypatch):
     assert 0 in left and len(left) <= 6
 
 
+@pytest.mark.parametrize("few, cell_rows", [(128, 1024), (8, 1024), (128, 16)])
+def test_no_seeming_pair_is_dropped(spark, monkeypatch, few, cell_rows):
+    """Texts with three changed words are similar to each other (0.816), but lie among many with four (0.788 and less) that seem as near."""
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies.candidates, "__defaults__", (cell_rows,))
+    if hasattr(near_copies, "untried"):
+        monkeypatch.setattr(near_copies.untried, "__defaults__", (cell_rows,))
+    rnd = random.Random(5)
+    base, texts = [f"w{rnd.randrange(5000)}" for _ in range(300)], []
+    for k in range(90):
+        words, n = list(base), 3 if k % 8 == 0 else 4
+        for i in range(n):
+            words[10 + rnd.randrange(280 // n - 10) + i * (280 // n)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    hashes = [near_copies.shingle_hashes(t) for t in texts]
+    sketches = [np.frombuffer(near_copies.sketch(h), np.uint64) for h in hashes]
+    fps = [near_copies.text_fingerprint(t, near_copies.FINGER_WIDTH) & (1 << 64) - 1 for t in texts]
+    meet = [(a, b) for a in range(90) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= near_copies.RADIUS]
+    seem = [(a, b) for a, b in meet if np.bitwise_count(sketches[a] ^ sketches[b]).sum() <= near_copies.REACH * 512]
+    near = [(a, b) for a, b in seem if near_copies.similarity(hashes[a], hashes[b]) >= near_copies.LEAST]
+    assert 10 < len(near) < len(seem) / 10
+    _, df = docs(spark, texts)
+    got = {r.first: r.component for r in near_copies.groups(df, Scratch(spark, "t")).collect()}
+    assert not [(a, b) for a, b in near if got[a] != got[b]]
+    exp = brute.shingle_groups(dict(enumerate(texts)))
+    assert all(exp[a] == exp[b] for a in got for b in got if got[a] == got[b])
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text, "a", None, None), (1, text + " more", "b", None, None), (1, text + " more", "b", None, None), (None, text, "c", None, None), (None, text, "c", None, None), (7, "quite another text", "d", None, None), (7, text, "e", None, None), (9, None, "f", None, None), (8, "", "g", None, None)]
