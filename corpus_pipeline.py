@@ -13,6 +13,9 @@ from strandframe.llm import decontaminate, mixing, near_copies, tokens, toxicity
 from strandframe.llm.common import load
 from strandframe.scratch import Scratch
 
+#: Pieces of text whose ids a worker of the last stage remembers.
+CACHE_PIECES = 200_000
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score stays under 0.5; the model learns from the labels of this stage's own documents."""
@@ -40,9 +43,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards on disk; returns what is read back from them, a row for each document taken."""
     folder = Scratch(spark, "tokens").path("files")
-    # fewer texts at once in a Python worker, beside a JVM that the stages before have filled
+    # fewer texts at once in a Python worker and fewer pieces remembered, beside a JVM that the stages before have filled
     with near_copies.arrow_rows(docs, near_copies.TEXT_ROWS):
-        shards = tokens.write_shards(docs, folder, tokens.default_tokenizer())
+        shards = tokens.write_shards(docs, folder, tokens.default_tokenizer(), pieces=CACHE_PIECES)
     return tokens.read_digests(shards, folder)
 
 

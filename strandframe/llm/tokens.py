@@ -338,11 +338,11 @@ class ShardReader:
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def _encoder(path: str) -> PieceEncoder:
+def _encoder(path: str, pieces: int = CACHE_PIECES) -> PieceEncoder:
     """One for each worker process, so that its memory serves all its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, pieces) not in _ENCODERS:
+        _ENCODERS[path, pieces] = PieceEncoder(path, pieces)
+    return _ENCODERS[path, pieces]
 
 
 def _filesystem(uri: str):
@@ -351,7 +351,7 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, pieces: int = CACHE_PIECES) -> DataFrame:
     """Encode docs (doc_id, text) and write them to shards in folder, a URI that all executors share.
 
     Returns shard, file, n_docs, n_tokens, start: shards ascend with doc_id,
@@ -359,7 +359,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     empty; each document ends with end_id. Documents with equal doc_id stand in
     the order of a hash of their text. A task writes to a name of its own and
     the table lists the files of the tasks that counted, so a repeated task
-    leaves no half file in the result.
+    leaves no half file in the result. A worker remembers the ids of some pieces
+    distinct pieces of text; with fewer it takes less memory and encodes more.
     """
     scratch = Scratch(docs.sparkSession, "tokens")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -370,7 +371,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        writer, encoder = None, _encoder(tokenizer_path)
+        writer, encoder = None, _encoder(tokenizer_path, pieces)
         for batch in batches:
             for at, n in bounded(batch.column("text")):
                 part = batch.slice(at, n)
