@@ -224,7 +224,7 @@ def untried(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scra
     return _dealt(cells, blocks, by, members, "inner").mapInArrow(compare, "a long, b long").distinct().join(edges, ["a", "b"], "left_anti")
 
 
-def verified_rest(rest: DataFrame, links: DataFrame, groups: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def verified_rest(rest: DataFrame, links: DataFrame, groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
     """groups (node, component) of links and of all pairs of rest (a, b) that are similar enough. A pair is only verified while its texts are in two groups; some pairs of two groups go first."""
     most = AT_ONCE
     while True:
@@ -237,22 +237,26 @@ def verified_rest(rest: DataFrame, links: DataFrame, groups: DataFrame, texts: D
         turns = at.groupBy("lo", "hi").agg(F.ceil(F.count(F.lit(1)) / most).alias("turns"))
         at = at.join(turns, ["lo", "hi"]).select("a", "b", (F.pmod(F.xxhash64("a", "b"), F.col("turns")) == 0).alias("now"))
         at = scratch.save(at, "turns")
-        more = scratch.save(verified(at.where("now").select("a", "b"), texts, scratch), "links")
+        more = scratch.save(verified(at.where("now").select("a", "b"), found), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             groups = connected_components(links, scratch)
         rest, most = at.where("not now"), most * AT_ONCE
 
 
-def verified(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The edges (a, b) whose texts (key, text) are similar enough, counted exactly on their shingles."""
+def hashed(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """key and hashes, those of shingles, of the texts (key, text) that edges (a, b) name."""
 
-    def hashed(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["key", "hashes"])
 
     wanted = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    found = scratch.save(texts.join(wanted, "key", "left_semi").mapInArrow(hashed, "key long, hashes binary"), "shingles")
+    return scratch.save(texts.join(wanted, "key", "left_semi").mapInArrow(run, "key long, hashes binary"), "shingles")
+
+
+def verified(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """The edges (a, b) whose texts are similar enough, counted exactly on their shingles; found has key and hashes."""
     both = edges.join(found.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
 
     def compare(batches):
@@ -298,12 +302,14 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         edges = scratch.save(candidates(texts.select("key", "fp", "sketch"), scratch), "candidates")
     wanted = rows.select("key", "doc_id", "text").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
     with arrow_rows(docs, TEXT_ROWS):
-        links = scratch.save(verified(edges, wanted, scratch), "links")
+        # whatever may be verified later is in an edge too
+        shingles = hashed(edges, wanted, scratch)
+        links = scratch.save(verified(edges, shingles), "links")
     found = connected_components(links, scratch)
     with arrow_rows(docs, GROUP_ROWS):
         rest = scratch.save(untried(texts.select("key", "fp", "sketch"), edges, found, scratch), "rest")
     with arrow_rows(docs, TEXT_ROWS):
-        found = verified_rest(rest, links, found, wanted, scratch).withColumnRenamed("node", "key")
+        found = verified_rest(rest, links, found, shingles, scratch).withColumnRenamed("node", "key")
     return texts.select("key", "first").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 
