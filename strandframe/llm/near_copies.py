@@ -3,12 +3,12 @@
 Candidates come from SimHash as in simhash.py: fingerprints of two-word
 shingles, which move by few bits where single words change, meet in the cells
 of the popcount grid. A longer SimHash, of the distinct five-word shingles,
-then tells how similar two texts in a cell seem. Texts that surely are near form
-groups first; then each is held against the nearest of those that may be, and
-what is apart still is joined where it seems similar. All these edges are
-verified exactly on the shingles of both texts. Where some fail, every pair in
-a cell that seems similar and still lies in two groups is verified too, so that
-the order in which pairs are looked at loses no link.
+then tells how similar two texts in a cell seem. A task hands on edges that
+connect what seems similar in its cells, never their pairs, and what these
+connect is a cluster. All pairs of a cluster are then compared exactly, on the shingles of
+both texts, within tasks that hold one block of the cluster or two, and again
+edges that connect what is similar are all that is handed on. So rows grow with
+the texts of a cluster, not with its pairs, and no order of looking loses a link.
 """
 
 from __future__ import annotations
@@ -24,24 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.common import connected_components, small
-from strandframe.llm.simhash import _cells, _once, segment_counts, text_fingerprint, text_key
+from strandframe.llm.simhash import _cells, _counts, _once, part_masks, segment_counts, text_fingerprint, text_key
 from strandframe.scratch import Scratch
 
 WIDTH, LEAST = 5, 0.8
 #: Words of the shingles of the fingerprint that finds candidates; the differing bits up to which two always meet in a cell, and up to which two that meet are looked at.
 FINGER_WIDTH, RADIUS, NEAR = 2, 8, 12
-#: Longs of the sketch, and the shares of its bits up to which texts surely and perhaps are similar: a similarity of 0.8 means 0.151 on average, with a deviation of 0.016.
-SKETCH_LONGS, SURE, REACH = 8, 0.11, 0.18
+#: Longs of the sketch, and the share of its bits up to which texts may be similar: a similarity of 0.8 means 0.151 on average, with a deviation of 0.016.
+SKETCH_LONGS, REACH = 8, 0.18
 #: Members of a cell (or of one block of a large cell) that a task compares, and those up to which the pairs of many cells are made at once.
 CELL_ROWS, FEW = 1024, 128
 #: Rows of an Arrow batch of texts, and of one of cells.
 TEXT_ROWS, GROUP_ROWS = 500, 2000
-#: Texts of other groups in a cell that a text is held against first, the nearest, beside those that connect what is apart; the rest follows where groups stay apart.
-NEAREST = 3
-#: Pairs between two groups that are verified at once, of those left; each time so many times more, until none is left.
-AT_ONCE = 8
-#: Pairs that a task hands on at once.
-_PAIRS = 1 << 17
+#: Texts of a block of a cluster, and bytes of their shingles; a task compares two blocks at most.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 22
+#: Shingles whose holders are counted at once by a matrix product; pairs of holders that are counted at once.
+_COLUMNS, _PAIRS = 4096, 1 << 20
 _MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -78,53 +76,116 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _spanning(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The edges of a large cell: those that join sure groups, each text's nearest of other groups, and those that join what may be similar."""
-    n, group = len(keys), np.arange(len(keys))
-    for reach in (SURE, REACH):
-        for i in range(n - 1):
-            others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
-            others = others[np.bitwise_count(fps[others] ^ fps[i]) <= NEAR]
-            others = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1) <= reach * 64 * SKETCH_LONGS]
-            # one edge for each group that is met
-            for g, j in zip(*np.unique(group[others], return_index=True), strict=True):
-                yield int(keys[i]), int(keys[others[j]])
-                group[group == g] = group[i]
-        if reach == SURE:
-            for i in range(n):
-                others = np.flatnonzero((group != group[i]) & (np.bitwise_count(fps ^ fps[i]) <= NEAR))
-                far = np.bitwise_count(sketches[others] ^ sketches[i]).sum(1)
-                for j in others[np.argsort(far, kind="stable")[:NEAREST]][np.sort(far, kind="stable")[:NEAREST] <= REACH * 64 * SKETCH_LONGS]:
-                    yield int(keys[i]), int(keys[j])
-
-
-def _of_small(first: np.ndarray, size: int, keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The same for many cells of one size, which begin at first: few of their pairs are near."""
+def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges (places in sets, of distinct hashes) that connect what pairs of a similarity of LEAST or more connect; all pairs are compared."""
+    if len(sets) == 2:
+        return [(0, 1)] if similarity(*sets) >= LEAST else []
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, which, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a text most of whose shingles no other has is similar to none
+    common = np.bincount(owner[held[which] > 1], minlength=len(sets))
+    able = np.flatnonzero(common / np.maximum(sizes, 1) >= np.where(sizes > 0, LEAST, 0))
+    place = np.full(len(sets), -1)
+    place[able] = np.arange(len(able))
+    taken = (held[which] > 1) & (place[owner] >= 0)
+    both, total = _intersections(place[owner[taken]], which[taken], len(able)), sizes[able][:, None] + sizes[able]
+    near = both >= total - both
+    np.divide(both, total - both, out=both, where=total > 0)
+    near = np.where(total > 0, both >= LEAST, near)
+
+    edges, seen = [], np.zeros(len(able), bool)
+    for first in range(len(able)):
+        front = [] if seen[first] else [first]
+        seen[first] = True
+        while front:
+            i = front.pop()
+            more = np.flatnonzero(near[i] & ~seen).tolist()
+            seen[more] = True
+            edges += [(int(able[i]), int(able[j])) for j in more]
+            front += more
+    return edges
+
+
+def _intersections(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
+    """For each pair of n rows, how many columns hold both; (rows, columns) are what is held, each once, rows ascending."""
+    out = np.zeros((n, n))
+    held = np.bincount(columns) if len(columns) else np.zeros(0, np.int64)
+    # many holders: a product of matrices; few: all pairs of holders
+    often = held > max(8, n // 16)
+    at = np.where(often, np.cumsum(often) - 1, -1)[columns] if len(columns) else columns
+    for lo in range(0, int(often.sum()), _COLUMNS):
+        now = (at >= lo) & (at < lo + _COLUMNS)
+        m = np.zeros((n, _COLUMNS), np.float32)
+        m[rows[now], at[now] - lo] = 1
+        out += m @ m.T
+    rows, columns = rows[at < 0], columns[at < 0]
+    order = np.argsort(columns, kind="stable")
+    rows, times = rows[order], held[columns[order]]
+    for d in np.unique(times[times > 1]).tolist():
+        holders, (i, j) = rows[times == d].reshape(-1, d), np.triu_indices(d, 1)
+        step = max(1, _PAIRS // len(i))
+        for lo in range(0, len(holders), step):
+            part = holders[lo : lo + step]
+            one = np.bincount((part[:, i] * n + part[:, j]).reshape(-1), minlength=n * n).reshape(n, n)
+            out += one + one.T
+    return out
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray, part: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether a cell is the first of those in which points a and b (segment counts) meet, so that a pair counts in one cell only."""
+    first, masks = np.ones(len(a), bool), [np.uint64(m) for m in part_masks(RADIUS)]
+    for p, mask in enumerate(masks):
+        differ = (a ^ b) & mask
+        near = np.bitwise_count(differ) <= 2
+        # beside or between them: the smaller one, or one step up from it where the other is two steps up
+        shared = a & b & mask
+        up = (np.bitwise_count(differ) == 2) & ((differ & a == 0) | (differ & b == 0))
+        shared = np.where(up, shared | (differ & -differ), shared)
+        first &= np.where(part == p, near & (shared == cell), ~near | (part < p))
+    return first
+
+
+def _spanning(part: int, cell: np.uint64, keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Edges of a large cell that connect what seems similar among the pairs that count in it."""
+    n, group, counts = len(keys), np.arange(len(keys)), _counts(fps)
+    for i in range(n - 1):
+        others = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        others = others[np.bitwise_count(fps[others] ^ fps[i]) <= NEAR]
+        others = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1) <= REACH * 64 * SKETCH_LONGS]
+        others = others[_first_shared(counts[others], counts[i], np.full(len(others), part), np.full(len(others), cell))]
+        # one edge for each group that is met
+        for g, j in zip(*np.unique(group[others], return_index=True), strict=True):
+            yield int(keys[i]), int(keys[others[j]])
+            group[group == g] = group[i]
+
+
+def _of_small(first: np.ndarray, size: int, part: np.ndarray, cell: np.ndarray, keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The pairs that seem similar and count in many cells of one size, which begin at first: few of their pairs are near."""
     i, j = np.triu_indices(size, 1)
     step = max(1, (1 << 17) // len(i))
     for at in range(0, len(first), step):
         a, b = ((first[at : at + step, None] + x).reshape(-1) for x in (i, j))
+        of = np.repeat(np.arange(at, min(at + step, len(first))), len(i))
         near = np.bitwise_count(fps[a] ^ fps[b]) <= NEAR
-        a, b = a[near], b[near]
-        far = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1)
-        like = far <= REACH * 64 * SKETCH_LONGS
-        a, b, far = a[like], b[like], far[like]
-        order = np.argsort(far, kind="stable")
-        up: dict[int, int] = {}
-        met: dict[int, int] = {}
-        for x, y, d in zip(a[order].tolist(), b[order].tolist(), far[order].tolist(), strict=True):
-            r, t = x, y
-            while r in up:
-                r = up[r]
-            while t in up:
-                t = up[t]
-            if r != t:
-                up[t] = r
-            elif d <= SURE * 64 * SKETCH_LONGS or min(met.get(x, 0), met.get(y, 0)) >= NEAREST:
-                continue
-            if d > SURE * 64 * SKETCH_LONGS:
-                met[x], met[y] = met.get(x, 0) + 1, met.get(y, 0) + 1
-            yield int(keys[x]), int(keys[y])
+        a, b, of = a[near], b[near], of[near]
+        like = np.bitwise_count(sketches[a] ^ sketches[b]).sum(1) <= REACH * 64 * SKETCH_LONGS
+        a, b, of = a[like], b[like], of[like]
+        like = _first_shared(_counts(fps[a]), _counts(fps[b]), part[of], cell[of])
+        yield from zip(keys[a[like]].tolist(), keys[b[like]].tolist(), strict=True)
+
+
+def _joining(edges: Iterator[tuple[int, int]], up: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Those of edges that join what none before them has joined; up keeps what is joined."""
+    for edge in edges:
+        ends = []
+        for x in edge:
+            while (over := up.get(x, x)) != x:
+                up[x] = x = up.get(over, over)
+            ends.append(x)
+        if ends[0] != ends[1]:
+            up[ends[1]] = ends[0]
+            yield edge
 
 
 def _longs(column: pa.Array) -> np.ndarray:
@@ -134,33 +195,31 @@ def _longs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(np.uint64)
 
 
-def _in_cells(texts: DataFrame, by: list[str]) -> DataFrame:
-    """texts (key, fp, sketch and more) in each of their cells: columns part and cell."""
-    n = texts.count()
-    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000))
-    cells = texts.repartition(tasks, "key").withColumn("counts", segment_counts(F.col("fp")))
-    return cells.select(*by, F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select(*by, "c.*")
-
-
-def _dealt(cells: DataFrame, sizes: DataFrame, by: list[str], members: list[str], how: str) -> DataFrame:
-    """m, a list of members, for each pair of blocks of each cell; sizes has the number of blocks, one if it is not there."""
-    dealt = cells.join(small(sizes.select(*by, "blocks")), by, how)
-    dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.lit(0)))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-    # lists are made behind the shuffle alone: before it, they would hold rows in memory and fold none
-    dealt = dealt.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *members).repartition(*by, "i", "j")
-    return dealt.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*members)).alias("m")).where(F.size("m") > 1).select("m")
+def _dealt(rows: DataFrame, by: list[str], members: list[str]) -> DataFrame:
+    """rows, which have the number of blocks of their group (by), dealt out to all pairs (i, j) of blocks; one block is a pair by itself."""
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.where("blocks = 1 or block <> other")
+    return rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *members).repartition(*by, "i", "j")
 
 
 def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (a, b) between the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
-    cells = _in_cells(texts, ["key", "fp", "sketch"])
-    sizes = scratch.save(cells.groupBy("part", "cell").count().where(F.col("count") > 1).withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")).where("blocks > 1"), "large")
-    groups = _dealt(cells, sizes, ["part", "cell"], ["key", "fp", "sketch"], "left")
+    """Edges (a, b) that connect the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
+    n, by = texts.count(), ["part", "cell"]
+    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000))
+    cells = texts.repartition(tasks, "key").withColumn("counts", segment_counts(F.col("fp")))
+    cells = cells.select("key", "fp", "sketch", F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select("key", "fp", "sketch", "c.*")
+    sizes = cells.groupBy(*by).count().withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")).where("blocks > 1")
+    sizes = scratch.save(sizes.select(*by, "blocks"), "large")
+    dealt = _dealt(cells.join(small(sizes), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), by, ["key", "fp", "sketch"])
+    # lists are made behind the shuffle alone: before it, they would hold rows in memory and fold none
+    groups = dealt.groupBy(*by, "i", "j").agg(F.collect_list(F.struct("key", "fp", "sketch")).alias("m")).where(F.size("m") > 1).select(*by, "m")
 
     def compare(batches):
+        up: dict[int, int] = {}
         for batch in batches:
             members = batch.column("m")
+            part, cell = batch.column("part").to_numpy(), batch.column("cell").to_numpy().view(np.uint64)
             flat, edges = members.flatten(), []
             if len(flat):
                 keys, fps = flat.field("key").to_numpy(), flat.field("fp").to_numpy().view(np.uint64)
@@ -169,104 +228,56 @@ def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -
                 first = np.cumsum(sizes) - sizes
                 for size in np.unique(sizes).tolist():
                     if size <= FEW:
-                        edges += _of_small(first[sizes == size], size, keys, fps, sketches)
-                for lo, size in zip(first[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
-                    edges += _spanning(keys[lo : lo + size], fps[lo : lo + size], sketches[lo : lo + size])
-            yield pa.RecordBatch.from_arrays([pa.array([pick(e) for e in edges], pa.int64()) for pick in (min, max)], ["a", "b"])
+                        of = sizes == size
+                        edges += _joining(_of_small(first[of], size, part[of], cell[of], keys, fps, sketches), up)
+                for g in np.flatnonzero(sizes > FEW).tolist():
+                    at = slice(first[g], first[g] + sizes[g])
+                    edges += _joining(_spanning(part[g], cell[g], keys[at], fps[at], sketches[at]), up)
+            yield _edges(edges)
 
     return groups.mapInArrow(compare, "a long, b long").distinct()
 
 
-def untried(texts: DataFrame, edges: DataFrame, groups: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """All pairs (a, b) that meet in a cell and seem similar, but are neither among edges, those of candidates, nor in one of groups (node, component).
+def _edges(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pick(e) for e in edges], pa.int64()) for pick in (min, max)], ["a", "b"])
 
-    The edges of a cell connect all in it that seem similar. So such a pair lies
-    in one component of edges, in which some edge has failed and not all pairs
-    are edges; other texts are left out.
-    """
-    seeming = connected_components(edges, scratch).withColumnRenamed("component", "within")
-    at = seeming.join(groups, "node", "left").select(F.col("node").alias("key"), "within", F.coalesce("component", "node").alias("group"))
-    at = scratch.save(at, "seeming")
-    sizes = at.groupBy("within").agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    tried = edges.join(at.select(F.col("key").alias("a"), "within"), "a").groupBy("within").agg(F.count(F.lit(1)).alias("tried"))
-    some = sizes.join(tried, "within").where(F.col("tried") * 2 < F.col("n") * (F.col("n") - 1)).select("within")
-    open_ = scratch.save(texts.join(at.join(some, "within", "left_semi"), "key"), "open")
-    by, members = ["part", "cell", "within"], ["key", "fp", "sketch", "group", "block"]
-    cells = _in_cells(open_, ["key", "fp", "sketch", "group", "within"])
-    blocks = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi")
-    blocks = scratch.save(blocks.select(*by, F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks")), "blocks")
-
-    def pairs(found):
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-    def compare(batches):
-        for batch in batches:
-            flat, sizes = batch.column("m").flatten(), batch.column("m").value_lengths().to_numpy()
-            keys, group, block = (flat.field(c).to_numpy() for c in ("key", "group", "block"))
-            fps, sketches = flat.field("fp").to_numpy().view(np.uint64), _longs(flat.field("sketch")).reshape(len(keys), SKETCH_LONGS)
-            found, n = [], 0
-            for lo, hi in zip((np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), strict=True):
-                # pairs within a block are those of the block with itself
-                two = block[lo:hi].min() != block[lo:hi].max()
-                for i in range(lo, hi - 1):
-                    others = (group[i + 1 : hi] != group[i]) & (np.bitwise_count(fps[i + 1 : hi] ^ fps[i]) <= NEAR)
-                    others = np.flatnonzero(others & (block[i + 1 : hi] != block[i]) if two else others) + i + 1
-                    others = others[np.bitwise_count(sketches[others] ^ sketches[i]).sum(1) <= REACH * 64 * SKETCH_LONGS]
-                    if len(others):
-                        found.append((np.full(len(others), keys[i]), keys[others]))
-                        n += len(others)
-                    if n > _PAIRS:
-                        yield pairs(found)
-                        found, n = [], 0
-            yield pairs(found)
-
-    return _dealt(cells, blocks, by, members, "inner").mapInArrow(compare, "a long, b long").distinct().join(edges, ["a", "b"], "left_anti")
-
-
-def verified_rest(rest: DataFrame, links: DataFrame, groups: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
-    """groups (node, component) of links and of all pairs of rest (a, b) that are similar enough. A pair is only verified while its texts are in two groups; some pairs of two groups go first."""
-    most = AT_ONCE
-    while True:
-        of = lambda c: groups.select(F.col("node").alias(c), F.col("component").alias(f"g{c}"))  # noqa: B023, E731
-        at = rest.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({"ga": F.coalesce("ga", "a"), "gb": F.coalesce("gb", "b")})
-        at = at.where("ga <> gb").select("a", "b", F.least("ga", "gb").alias("lo"), F.greatest("ga", "gb").alias("hi"))
-        at = scratch.save(at, "apart")
-        if at.isEmpty():
-            return groups
-        turns = at.groupBy("lo", "hi").agg(F.ceil(F.count(F.lit(1)) / most).alias("turns"))
-        at = at.join(turns, ["lo", "hi"]).select("a", "b", (F.pmod(F.xxhash64("a", "b"), F.col("turns")) == 0).alias("now"))
-        at = scratch.save(at, "turns")
-        more = scratch.save(verified(at.where("now").select("a", "b"), found), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = connected_components(links, scratch)
-        rest, most = at.where("not now"), most * AT_ONCE
-
-
-def hashed(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """key and hashes, those of shingles, of the texts (key, text) that edges (a, b) name."""
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())], ["key", "hashes"])
+def clusters(texts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """key, first, within and blocks of the texts (key, first, n: number of shingles) that edges connect: their cluster and into how many blocks it is dealt."""
+    found = connected_components(edges, scratch).select(F.col("node").alias("key"), F.col("component").alias("within"))
+    of = scratch.save(texts.select("key", "first", "n").join(found, "key"), "clusters")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES, F.lit(1))).cast("int")
+    return scratch.save(of.join(of.groupBy("within").agg(blocks.alias("blocks")), "within").select("key", "first", "within", "blocks"), "members")
 
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    return scratch.save(texts.join(wanted, "key", "left_semi").mapInArrow(run, "key long, hashes binary"), "shingles")
 
+def links(members: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect what is similar within clusters; members has key, text, within and blocks."""
 
-def verified(edges: DataFrame, found: DataFrame) -> DataFrame:
-    """The edges (a, b) whose texts are similar enough, counted exactly on their shingles; found has key and hashes."""
-    both = edges.join(found.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(found.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    def hashed(batches):
+        for batch in batches:
+            hashes = pa.array([shingle_hashes(t.as_py()).tobytes() for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "within", "blocks")), hashes], ["key", "within", "blocks", "hashes"])
 
     def compare(batches):
+        at, keys, sets = None, [], []
         for batch in batches:
-            x, y = ([np.cumsum([0, *pc.binary_length(batch.column(c)).to_pylist()]) // 8, _longs(batch.column(c))] for c in ("x", "y"))
-            part = lambda s, i: s[1][s[0][i] : s[0][i + 1]]
-            fine = [similarity(part(x, i), part(y, i)) >= LEAST for i in range(len(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(fine, pa.bool_())], ["a", "b", "fine"])
+            flat, ends, edges = _longs(batch.column("hashes")), np.cumsum([0, *pc.binary_length(batch.column("hashes")).to_pylist()]) // 8, []
+            for k, (key, *place) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "within", "i", "j")), strict=True)):
+                if place != at:
+                    edges += _named(keys, sets)
+                    at, keys, sets = place, [], []
+                keys.append(key)
+                sets.append(flat[ends[k] : ends[k + 1]])
+            yield _edges(edges)
+        yield _edges(_named(keys, sets))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, fine boolean").where("fine").select("a", "b")
+    rows = members.select("key", "within", "blocks", "text").mapInArrow(hashed, "key long, within long, blocks int, hashes binary")
+    dealt = _dealt(rows, ["within"], ["key", "hashes"]).sortWithinPartitions("within", "i", "j")
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def _named(keys: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    return [(keys[i], keys[j]) for i, j in linked(sets)] if len(keys) > 1 else []
 
 
 @contextmanager
@@ -288,28 +299,26 @@ def groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def marked(batches):
         for batch in batches:
-            fps, sketches = [], []
+            fps, sketches, sizes = [], [], []
             for t in batch.column("text"):  # one text at a time is in Python
                 text = t.as_py()
                 fps.append(text_fingerprint(text, FINGER_WIDTH))
-                sketches.append(sketch(shingle_hashes(text)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary())], ["key", "doc_id", "fp", "sketch"])
+                hashes = shingle_hashes(text)
+                sketches.append(sketch(hashes))
+                sizes.append(len(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(fps, pa.int64()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int64())], ["key", "doc_id", "fp", "sketch", "n"])
 
-    each = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(marked, "key long, doc_id long, fp long, sketch binary")
+    each = rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(marked, "key long, doc_id long, fp long, sketch binary, n long")
     with arrow_rows(docs, TEXT_ROWS):
-        texts = scratch.save(each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch")), "texts")
+        texts = scratch.save(each.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("fp").alias("fp"), F.max("sketch").alias("sketch"), F.max("n").alias("n")), "texts")
     with arrow_rows(docs, GROUP_ROWS):
         edges = scratch.save(candidates(texts.select("key", "fp", "sketch"), scratch), "candidates")
-    wanted = rows.select("key", "doc_id", "text").join(texts.select("key", F.col("first").alias("doc_id")), ["key", "doc_id"], "left_semi").dropDuplicates(["key"])
-    with arrow_rows(docs, TEXT_ROWS):
-        # whatever may be verified later is in an edge too
-        shingles = hashed(edges, wanted, scratch)
-        links = scratch.save(verified(edges, shingles), "links")
-    found = connected_components(links, scratch)
-    with arrow_rows(docs, GROUP_ROWS):
-        rest = scratch.save(untried(texts.select("key", "fp", "sketch"), edges, found, scratch), "rest")
+    members = clusters(texts, edges, scratch)
+    named = small(members.select("key", F.col("first").alias("doc_id"), "within", "blocks"))
     with arrow_rows(docs, TEXT_ROWS):
-        found = verified_rest(rest, links, found, shingles, scratch).withColumnRenamed("node", "key")
+        # the text of one row of each; equal rows repeat it
+        held = scratch.save(links(rows.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text").join(named, ["key", "doc_id"]).dropDuplicates(["key"])), "links")
+    found = connected_components(held, scratch).withColumnRenamed("node", "key")
     return texts.select("key", "first").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
 
 

@@ -80,12 +80,21 @@ def _signed(x: int) -> int:
     return x - (x >> 63 << 64)
 
 
+def _axes(part: int, n: int) -> range:
+    return range(_SEGMENTS * part // n, _SEGMENTS * (part + 1) // n)
+
+
+def part_masks(radius: int) -> list[int]:
+    """The bits of segment counts that each part of the axes has."""
+    n = parts_for(radius)
+    return [sum(3 << (2 * s) for s in _axes(part, n)) for part in range(n)]
+
+
 def _cells(counts: Column, radius: int) -> Column:
     """An array of (part, cell): in each part of the axes the cell of a point, and the cells at a distance of one."""
     n, keys = parts_for(radius), []
-    for part in range(n):
-        axes = range(_SEGMENTS * part // n, _SEGMENTS * (part + 1) // n)
-        mask = F.lit(_signed(sum(3 << (2 * s) for s in axes)))
+    for part, bits in enumerate(part_masks(radius)):
+        axes, mask = _axes(part, n), F.lit(_signed(bits))
         cell = lambda c, part=part, mask=mask: F.struct(F.lit(part).cast("short").alias("part"), c.bitwiseAND(mask).alias("cell"))
         keys.append(cell(counts))
         for s in axes:

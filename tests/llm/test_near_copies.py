@@ -104,3 +104,70 @@ def test_sketches():
         x, y = (np.frombuffer(near_copies.sketch(s), np.uint64) for s in (a, b))
         assert abs(np.bitwise_count(x ^ y).sum() / 512 - np.arccos(same / 1000) / np.pi) < 0.07
     assert near_copies.similarity(a, a) == near_copies.similarity(a[:0], b[:0]) == 1 and near_copies.similarity(a, a[:0]) == 0
+
+
+def family(n, changed, seed):
+    """n texts of 300 words, each with words of its own at so many places, far from each other."""
+    rnd = random.Random(seed)
+    base, texts = [f"w{rnd.randrange(5000)}" for _ in range(300)], []
+    for k in range(n):
+        words, m = list(base), changed[k % len(changed)]
+        for i in range(m):
+            words[10 + rnd.randrange(280 // m - 10) + i * (280 // m)] = f"x{rnd.randrange(10**6)}"
+        texts.append(" ".join(words))
+    return texts
+
+
+class Counting(Scratch):
+    """A scratch that adds up the rows of the tables of pairs that are saved."""
+
+    rows = 0
+
+    def save(self, df, name):
+        out = super().save(df, name)
+        self.rows += out.count() if df.columns[:2] == ["a", "b"] else 0
+        return out
+
+
+def test_rows_grow_with_texts(spark):
+    """Of 400 texts that seem alike and of which few are similar, edges that connect them are handed on, not their pairs."""
+    scratch, texts = Counting(spark, "t"), family(400, (4, 4, 5), 7)
+    exp = brute.shingle_groups(dict(enumerate(texts)))
+    _, df = docs(spark, texts)
+    got = {r.first: r.component for r in near_copies.groups(df, scratch).collect()}
+    assert len(set(got.values())) > 50
+    assert all(exp[a] == exp[b] for a in got for b in got if got[a] == got[b])
+    assert scratch.rows < 8 * 400
+
+
+@pytest.mark.parametrize("block_rows", [8, 512])
+def test_all_pairs_of_a_cluster(spark, monkeypatch, block_rows):
+    """Groups of a cluster are those of all its pairs, in one block and in many."""
+    if hasattr(near_copies, "BLOCK_ROWS"):
+        monkeypatch.setattr(near_copies, "BLOCK_ROWS", block_rows)
+    texts = family(60, (1, 2, 3, 4, 4, 5), 11) + ["", " ", "a b", "A  b"]
+    exp = brute.shingle_groups(dict(enumerate(texts)))
+    _, df = docs(spark, texts)
+    got = {r.first: r.component for r in near_copies.groups(df, Scratch(spark, "t")).collect()}
+    assert all((exp[a] == exp[b]) == (got[a] == got[b]) for a in got for b in got)
+
+
+def test_linked():
+    """Edges within a task against each pair by itself; shingles held by few, by many, and by all."""
+    rnd = random.Random(4)
+    for n, size in ((2, 9), (3, 0), (40, 5), (70, 60), (200, 40)):
+        base = [rnd.getrandbits(64) for _ in range(size)]
+        sets = []
+        for k in range(n):
+            own = rnd.choice([0, 1, 2, size // 6, size // 4, size])
+            sets.append(np.unique(np.array(rnd.sample(base, size - min(own, size)) + [rnd.getrandbits(64) for _ in range(own)] if k % 9 else [], np.uint64)))
+        exp = {i: i for i in range(n)}
+        for i in range(n):
+            for j in range(i):
+                if near_copies.similarity(sets[i], sets[j]) >= near_copies.LEAST and exp[i] != exp[j]:
+                    exp = {k: exp[j] if v == exp[i] else v for k, v in exp.items()}
+        got = near_copies.linked(sets)
+        assert len(got) == n - len(set(exp.values()))
+        for i, j in got:
+            exp = {k: exp[j] if v == exp[i] else v for k, v in exp.items()}
+        assert len(got) == n - len(set(exp.values()))
