@@ -203,17 +203,54 @@ def _dealt(rows: DataFrame, by: list[str], members: list[str]) -> DataFrame:
     return rows.select(*by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *members).repartition(*by, "i", "j")
 
 
-def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Edges (a, b) that connect the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
-    n, by = texts.count(), ["part", "cell"]
-    tasks = max(texts.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 10_000))
-    cells = texts.repartition(tasks, "key").withColumn("counts", segment_counts(F.col("fp")))
-    cells = cells.select("key", "fp", "sketch", F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select("key", "fp", "sketch", "c.*")
+def _in_cells(rows: DataFrame, by: list[str], members: list[str], scratch: Scratch, cell_rows: int) -> DataFrame:
+    """m, a list of members, for each cell of rows (key, fp and more) or each pair of blocks of a large one that has several."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / 10_000))
+    cells = rows.repartition(tasks, "key").withColumn("counts", segment_counts(F.col("fp")))
+    cells = cells.select(*members, F.explode(_cells(F.col("counts"), RADIUS)).alias("c")).select(*members, "c.*")
     sizes = cells.groupBy(*by).count().withColumn("blocks", F.ceil(F.col("count") / cell_rows).cast("int")).where("blocks > 1")
     sizes = scratch.save(sizes.select(*by, "blocks"), "large")
-    dealt = _dealt(cells.join(small(sizes), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), by, ["key", "fp", "sketch"])
+    dealt = _dealt(cells.join(small(sizes), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), by, members)
     # lists are made behind the shuffle alone: before it, they would hold rows in memory and fold none
-    groups = dealt.groupBy(*by, "i", "j").agg(F.collect_list(F.struct("key", "fp", "sketch")).alias("m")).where(F.size("m") > 1).select(*by, "m")
+    return dealt.groupBy(*by, "i", "j").agg(F.collect_list(F.struct(*members)).alias("m")).where(F.size("m") > 1).select(*by, "m")
+
+
+def meeting(texts: DataFrame, scratch: Scratch, cell_rows: int) -> DataFrame:
+    """The texts (fp and more) whose fingerprint is another text's too, or meets one within NEAR bits in a cell. Only fingerprints are dealt to cells, so sketches need not travel for the others."""
+    fps = scratch.save(texts.groupBy(F.col("fp").alias("key")).agg(F.count(F.lit(1)).alias("n")), "fps")
+    groups = _in_cells(fps.select("key", F.col("key").alias("fp")), ["part", "cell"], ["key"], scratch, cell_rows)
+
+    def near(batches):
+        told: set[int] = set()
+        for batch in batches:
+            members = batch.column("m")
+            keys, sizes, found = members.flatten().field("key").to_numpy(), members.value_lengths().to_numpy(), []
+            fps, first = keys.view(np.uint64), np.cumsum(sizes) - sizes
+            for size in np.unique(sizes).tolist():
+                starts = first[sizes == size]
+                if size <= FEW:
+                    i, j = np.triu_indices(size, 1)
+                    step = max(1, (1 << 17) // len(i))
+                    for lo in range(0, len(starts), step):
+                        a, b = ((starts[lo : lo + step, None] + x).reshape(-1) for x in (i, j))
+                        hit = np.bitwise_count(fps[a] ^ fps[b]) <= NEAR
+                        found += [keys[a[hit]], keys[b[hit]]]
+                else:
+                    for lo in starts.tolist():
+                        own = fps[lo : lo + size]
+                        hit = [np.count_nonzero(np.bitwise_count(own ^ x) <= NEAR) > 1 for x in own]
+                        found.append(keys[lo : lo + size][hit])
+            new = set(np.concatenate(found).tolist() if found else ()) - told
+            told |= new
+            yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.int64())], ["fp"])
+
+    wanted = groups.select("m").mapInArrow(near, "fp long").union(fps.where("n > 1").select("key")).distinct()
+    return scratch.save(texts.join(small(scratch.save(wanted, "wanted")), "fp", "left_semi"), "meeting")
+
+
+def candidates(texts: DataFrame, scratch: Scratch, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Edges (a, b) that connect the keys of distinct texts (key, fp, sketch) that seem similar; large cells are dealt into pairs of blocks."""
+    groups = _in_cells(meeting(texts, scratch, cell_rows), ["part", "cell"], ["key", "fp", "sketch"], scratch, cell_rows)
 
     def compare(batches):
         up: dict[int, int] = {}
