@@ -14,9 +14,12 @@ into blocks, each pair of which is a group of its own.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from strandframe.operators import places
 from strandframe.scratch import Scratch
 
 #: Width of the bins that windows go by.
@@ -251,10 +254,32 @@ def longest_over(ranges: DataFrame, points: DataFrame, keys: list[str], sweep: i
     return local.select(*keys, p.alias("p"), F.greatest("__n", "__before").alias("longest")).where("longest is not null").groupBy(*keys, "p").agg(F.max("longest").alias("longest"))
 
 
-def drop_shorter(df: DataFrame, keys: list[str], sweep: int = SWEEP) -> DataFrame:
+def _without_shorter(near: places.Near) -> pa.Table:
+    """The rows at home that no longer range overlaps: the longest range over their first or last base is no longer."""
+    first, last = near.start, near.end - 1
+    live = np.flatnonzero(near.live)
+    points = np.unique(np.concatenate([first[live], last[live]]))
+    i, j = np.searchsorted(points, first[live]), np.searchsorted(points, last[live])
+    n = last[live] - first[live] + 1
+    longest = places.largest_over(i, j, n, len(points))
+    kept = near.home.copy()
+    kept[live] &= np.maximum(longest[i], longest[j]) <= n if len(live) else True
+    return near.table.filter(pa.array(kept)).drop_columns(["__live", "__bin", "__home"])
+
+
+def drop_shorter(df: DataFrame, keys: list[str], sweep: int = SWEEP, most: int = places.MOST) -> DataFrame:
     """df without ranges that a strictly longer range of their key overlaps. Empty ranges overlap nothing and stay.
 
-    A longer range that overlaps a range covers its first or its last base, so
+    Rows go once to their place and are told there. Keys with over most rows
+    in one place are swept.
+    """
+    own = tuple(c for c in df.columns if c not in (*keys, "start", "end"))
+    kept, crowded = places.near(df, keys, _without_shorter, places.schema_of(df), own, most)
+    return kept if crowded is None else kept.unionByName(_drop_shorter_swept(crowded, keys, sweep))
+
+
+def _drop_shorter_swept(df: DataFrame, keys: list[str], sweep: int) -> DataFrame:
+    """As drop_shorter. A longer range that overlaps a range covers its first or its last base, so
     the longest ranges over these two tell; equal ranges are asked once.
     """
     each = df.where("start < end").select(*keys, "start", "end").distinct()
