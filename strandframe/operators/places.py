@@ -104,7 +104,7 @@ def _whole_places(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.Table.from_batches(held)
 
 
-def near(df: DataFrame, keys: list[str], f: Callable[[Near], pa.Table], schema: str, own: tuple[str, ...] = (), most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
+def near(df: DataFrame, keys: list[str], f: Callable[[Near], pa.Table | Iterator[pa.Table]], schema: str, own: tuple[str, ...] = (), most: int = MOST) -> tuple[DataFrame, DataFrame | None]:
     """(found, crowded): f of all rows of df (keys, start, end and others) in whole places, sorted by place and start, and the rows of keys that f did not see, None if there are none.
 
     Columns of own are null for guests. Rows with a null key and empty ranges
@@ -143,7 +143,9 @@ def near(df: DataFrame, keys: list[str], f: Callable[[Near], pa.Table], schema:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_places(batches, keys):
-            yield from f(Near(table, keys, width)).combine_chunks().to_batches(max_chunksize=1 << 15)
+            found = f(Near(table, keys, width))
+            for out in [found] if isinstance(found, pa.Table) else found:
+                yield from out.combine_chunks().to_batches(max_chunksize=1 << 15)
 
     return placed.mapInArrow(work, schema), crowded
 

@@ -251,8 +251,7 @@ _TBLK = """, tb as (select aln_id, target_name, query_name, 1000000 as query_len
 
 @query(WITH + _TBLK + " select target_name, cast(ps as bigint) as piece_start, cast(pe as bigint) as piece_end, s_name, cast(s_pos as bigint) as s_pos, s_rev as s_reverse from sm")
 def stable_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = compose.target_blocks(derived.alignments(spark, sf_dir), "aln_id")
-    return compose.stable_mapping(blocks).drop("s_len")
+    return compose.stable_pieces(derived.alignments(spark, sf_dir), "aln_id").drop("s_len")
 
 
 @query(WITH + _TBLK + """, tl as (select p.aln_id, p.query_name, p.qp + case when p.rev then p.e - s2.pe else s2.ps - p.s end as q0, s2.pe - s2.ps as n, case when p.rev <> s2.s_rev then '-' else '+' end as strand, s2.s_name, s2.s_pos as t0
@@ -262,7 +261,7 @@ def stable_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     select aln_id, cast(run as bigint) as run, query_name, strand, s_name as target_name, cast(min(q0) as bigint) as query_start, cast(max(q0 + n) as bigint) as query_end, cast(min(t0) as bigint) as target_start, cast(max(t0 + n) as bigint) as target_end, cast(sum(n) as bigint) as num_bases
     from g group by all""")
 def alignment_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = compose.compose(derived.alignments(spark, sf_dir), "aln_id")
+    out = compose.compose(derived.alignments(spark, sf_dir), "aln_id", cigars=False)
     return out.select("aln_id", F.col("run").cast("bigint").alias("run"), "query_name", "strand", "target_name", "query_start", "query_end", "target_start", "target_end", "num_bases")
 
 

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandframe.operators import intervals
+from strandframe.functions import cigar
+from strandframe.operators import compose, intervals
 
 
 def exchanges(df):
@@ -30,3 +31,26 @@ def test_drop_shorter(spark, most):
 def test_drop_shorter_shuffles_once(spark):
     table = spark.range(1000).select("id", F.lit("k").alias("k"), (F.col("id") * 5).alias("start"), (F.col("id") * 6 + 9).alias("end"))
     assert exchanges(intervals.drop_shorter(table, ["k"])) == 1
+
+
+def paf_rows(seed, n=120):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        parts = [rnd.randint(0, 30), rnd.randint(1, 4), rnd.randint(1, 30), rnd.randint(1, 4), rnd.randint(1, 30)]
+        q, t = rnd.randint(0, 500), rnd.choice([rnd.randint(0, 200), rnd.randint(65_500, 65_600)])
+        cg = "{}M{}I{}M{}D{}M".format(*parts)
+        out.append((i, rnd.choice(["qa", "qb", "qé", "q1", "q10"]), 1000, q, q + sum(parts) - parts[3], rnd.choice("+-"), rnd.choice(["n", "m", None]), 70_000, t, t + sum(parts) - parts[1], cg))
+    return out
+
+
+@pytest.mark.parametrize("most,pieces", [(5, 1 << 22), (1 << 15, 1 << 22), (1 << 15, 7)])
+def test_compose_as_by_joins(spark, most, pieces):
+    text = "row long, query_name string, query_len long, query_start long, query_end long, strand string, target_name string, target_len long, target_start long, target_end long, cg string"
+    paf = spark.createDataFrame(paf_rows(3), text).withColumn("cigar", cigar.parse(F.col("cg"))).localCheckpoint()
+    show = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    by_joins = compose._compose_joined(paf, "row")
+    assert show(compose.compose(paf, "row", True, most, pieces)) == show(by_joins)
+    assert show(compose.stable_pieces(paf, "row", most, pieces)) == show(compose.stable_mapping(compose.target_blocks(paf, "row")))
+    if most > 5:
+        assert exchanges(compose.compose(paf, "row")) == exchanges(compose.stable_pieces(paf, "row")) == 1 < exchanges(by_joins)
