@@ -47,13 +47,15 @@ def stable_mapping(blocks: DataFrame) -> DataFrame:
 
 
 def _by_place(paf: DataFrame, *columns: str) -> DataFrame:
-    """paf's rows with start and end of their paired bases on the target, and b: these runs in short numbers, from start and the query's start."""
+    """paf's rows with start and end of their cigars on the target, and b: their runs of paired bases in short numbers, from start and the query's start."""
     back = F.col("strand") == "-"
     along = F.when(back, cigar.flip(F.col("cigar"))).otherwise(F.col("cigar"))
     at = lambda b: F.when(back, F.col("target_end") - b["t1"]).otherwise(F.col("target_start") + b["t0"])
-    rows = paf.withColumn("__b", F.transform(cigar.match_blocks(cigar.placed(along)), lambda b: F.struct(at(b).alias("s"), b["len"].alias("n"), b["q0"].alias("q")))).where(F.size("__b") > 0)
-    start = F.array_min(F.transform("__b", lambda b: b["s"]))
-    end = F.greatest(F.array_max(F.transform("__b", lambda b: b["s"] + b["n"])), start + 1)
+    rows = paf.withColumn("__b", F.transform(cigar.match_blocks(cigar.placed(along)), lambda b: F.struct(at(b).alias("s"), b["len"].alias("n"), b["q0"].alias("q"))))
+    # not by the runs, so that the longest range is found without placing cigars
+    span = cigar.target_span(F.col("cigar"))
+    start = F.when(back, F.col("target_end") - span).otherwise(F.col("target_start"))
+    end = start + F.greatest(span, F.lit(1))
     rows = rows.select(*columns, "target_name", "query_name", "query_len", "query_start", back.alias("is_reverse"), start.alias("start"), end.alias("end"), "__b")
     return rows.withColumn("b", F.transform("__b", lambda b: F.struct((b["s"] - F.col("start")).alias("s"), b["n"].alias("n"), b["q"].alias("q")))).drop("__b")
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import cigar
-from strandframe.operators import compose, intervals
+from strandframe.operators import compose, intervals, minimizers
 
 
 def exchanges(df):
@@ -54,3 +54,23 @@ def test_compose_as_by_joins(spark, most, pieces):
     assert show(compose.stable_pieces(paf, "row", most, pieces)) == show(compose.stable_mapping(compose.target_blocks(paf, "row")))
     if most > 5:
         assert exchanges(compose.compose(paf, "row")) == exchanges(compose.stable_pieces(paf, "row")) == 1 < exchanges(by_joins)
+
+
+@pytest.mark.parametrize("most", [12, 1 << 18])
+def test_counts_as_by_joins(spark, most):
+    rnd = random.Random(8)
+    rows = []
+    for i in range(90):
+        off = [rnd.randint(1, 9) for _ in range(rnd.randint(0, 4))]
+        t = rnd.choice([rnd.randint(0, 40), rnd.randint(65_500, 65_560)])
+        rows.append((i, rnd.choice(["n", "m", None]), i % 3, rnd.random() < 0.5, 131_100, t, t + sum(off) + 15, off, off, 15, rnd.randint(0, 1)))
+    hits = spark.createDataFrame(rows, "row long, target_name string, file_ord int, is_reverse boolean, target_len long, t_start long, t_end long, t_off array<int>, q_off array<int>, kmer long, good int").localCheckpoint()
+    show = lambda df: sorted(map(repr, df.select(sorted(df.columns)).collect()))
+    keep = F.col("good") == 1
+    plain, files = minimizers.counts(hits, keep).localCheckpoint(), minimizers.cumulative(minimizers.counts(hits, keep, by=["file_ord"]))
+    assert show(minimizers.counts_by_place(hits, keep, most=most)) == show(plain)
+    assert show(minimizers.counts_by_place(hits, keep, by_file=True, most=most)) == show(files)
+    marked = minimizers.keep_universal(hits, plain, "row", 0.5).where("target_name is not null").select("row", "ok")
+    assert show(minimizers.universal_marks(hits, keep, "row", 0.5, most)) == show(marked)
+    if most > 12:
+        assert exchanges(minimizers.counts_by_place(hits, keep)) == exchanges(minimizers.universal_marks(hits, keep, "row", 0.5)) == 1
