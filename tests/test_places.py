@@ -91,3 +91,18 @@ def test_route(spark, carried):
             exp.append((i, q, n, s, e, met[0][1], met[0][3], met[0][4], met[0][3] == 0 and met[0][4] >= 100))
     assert sorted(tuple(r) for r in got.select("id", "query_name", "query_len", "query_start", "query_end", "contig", "chunk_start", "chunk_end", "whole").collect()) == exp
     assert carried == 3 or exchanges(got) == 0
+
+
+@pytest.mark.parametrize("most", [12, 1 << 18])
+def test_single_as_by_joins(spark, most):
+    rnd = random.Random(10)
+    rows = []
+    for i in range(90):
+        off = [rnd.randint(1, 40) for _ in range(rnd.randint(0, 4))]
+        q = rnd.choice([rnd.randint(0, 900), rnd.randint(65_500, 65_560)])
+        rows.append((i, rnd.choice(["n", "m", None]), q, q + sum(off) + 15, rnd.choice([10, 300]), off, 15))
+    hits = spark.createDataFrame(rows, "row long, query_name string, q_start long, query_end long, block_len long, q_off array<int>, kmer long").withColumn("query_start", F.col("q_start")).localCheckpoint()
+    show = lambda df: sorted(map(repr, df.select("row", "ok").collect()))
+    got = minimizers.single_marks(hits, hits, "row", 200, most)
+    assert show(got) == show(minimizers.keep_single(hits, hits, "row", 200))
+    assert most == 12 or exchanges(got) == 1
